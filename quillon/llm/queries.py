@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
+from quillon.llm.sharding import shard_rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,20 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_source_mix": op2_source_mix,
+        "op10_minimax_shards": op10_minimax_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
