@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
+from quillon.llm.scratch import shared_dir
 from quillon.llm.sharding import shard_rows
+from quillon.llm.token_ids import read_token_ids, token_digests, write_token_ids
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    write_token_ids(_documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(read_token_ids(spark, out))
+
+
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_documents(spark, sf_dir))
 
@@ -30,6 +42,7 @@ def queries() -> dict:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_source_mix": op2_source_mix,
+        "op3_token_ids": op3_token_ids,
         "op10_minimax_shards": op10_minimax_shards,
     }
 
