@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.decontam import contamination
 from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
 from quillon.llm.scratch import shared_dir
@@ -34,6 +35,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_token_ids(spark, out))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_documents(spark, sf_dir))
 
@@ -43,6 +48,7 @@ def queries() -> dict:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_source_mix": op2_source_mix,
         "op3_token_ids": op3_token_ids,
+        "op8_decontaminate": op8_decontaminate,
         "op10_minimax_shards": op10_minimax_shards,
     }
 
