@@ -13,6 +13,7 @@ from quillon.llm.near_dup import near_duplicates
 from quillon.llm.scratch import shared_dir
 from quillon.llm.sharding import shard_rows
 from quillon.llm.token_ids import read_token_ids, token_digests, write_token_ids
+from quillon.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_token_ids(spark, out))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -48,6 +54,7 @@ def queries() -> dict:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_source_mix": op2_source_mix,
         "op3_token_ids": op3_token_ids,
+        "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op10_minimax_shards": op10_minimax_shards,
     }
