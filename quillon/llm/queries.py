@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm.decontam import contamination
 from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
+from quillon.llm.quality import quality_rules, train_quality
 from quillon.llm.scratch import shared_dir
 from quillon.llm.sharding import shard_rows
 from quillon.llm.token_ids import read_token_ids, token_digests, write_token_ids
@@ -36,6 +37,11 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_token_ids(spark, out))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_rules(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -54,6 +60,7 @@ def queries() -> dict:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_source_mix": op2_source_mix,
         "op3_token_ids": op3_token_ids,
+        "op4_line_quality": op4_line_quality,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op10_minimax_shards": op10_minimax_shards,
