@@ -83,7 +83,7 @@ def pre_token_starts(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of whole texts by the library, each distinct pre-token encoded once."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -100,30 +100,59 @@ class PieceEncoder:
         )
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.most = most
+        mark = self._ids("\n")
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        """Pieces met: two tables of (keys, ascending; first id in pool; number of ids), the second of late ones."""
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.tables = [empty, empty]
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece): all in one text of lines, unless a piece is or holds a line break."""
+        if self.mark is not None and not any(p.isspace() or "\n" in p for p in pieces):
+            ids = np.array(self._ids("\n".join([*pieces, ""])), np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) == len(pieces):
+                return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
         got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32)
-        k, n = len(self.slot), len(got)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while k + n > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        length = np.fromiter(map(len, got), np.int64, n)
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[k : k + n] = self.used + np.cumsum(length) - length
-        self.lengths[k : k + n] = length
-        self.slot.update(zip(keys, range(k, k + n), strict=True))
-        self.used += len(flat)
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        blank = np.array([p.isspace() or "\n" in p for p in pieces])
+        for part in (np.flatnonzero(blank), np.flatnonzero(~blank)):
+            if not len(part):
+                continue
+            flat, length = self._encode_pieces([pieces[i] for i in part.tolist()])
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + len(flat)] = flat
+            self._merge(1, (keys[part], self.used + np.cumsum(length) - length, length))
+            self.used += len(flat)
+        if len(self.tables[1][0]) > 50_000 + len(self.tables[0][0]) // 4:
+            late, self.tables[1] = self.tables[1], tuple(x[:0] for x in self.tables[1])
+            self._merge(0, late)
+
+    def _merge(self, level: int, more: tuple) -> None:
+        both = [np.concatenate(pair) for pair in zip(self.tables[level], more, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        self.tables[level] = tuple(x[order] for x in both)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id in pool, number of ids, -1 if not met) of ascending keys."""
+        start, length = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        for known, starts, lengths in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                start[hit], length[hit] = starts[at[hit]], lengths[at[hit]]
+        return start, length
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text) of the texts buf[offs[i]:offs[i + 1]] in UTF-8."""
@@ -143,18 +172,18 @@ class PieceEncoder:
         byte_ends = np.append(byte_starts[1:], len(buf))
         keys = vec.span_hashes(buf, byte_starts, byte_ends)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        if len(self.slot) + len(listed) > self.most:
+        if sum(len(t[0]) for t in self.tables) + len(distinct) > self.most:
             self._clear()
-        new = [i for i, key in enumerate(listed) if key not in self.slot]
-        if new:
+        start, length = self._find(distinct)
+        new = np.flatnonzero(length < 0)
+        if len(new):
             at = first[new]
             pieces = [raw[a:b].decode() for a, b in zip(byte_starts[at].tolist(), byte_ends[at].tolist(), strict=True)]
-            self._add([listed[i] for i in new], pieces)
-        slots = np.fromiter(map(self.slot.__getitem__, listed), np.int64, len(listed))[inverse]
-        length = self.lengths[slots]
+            self._add(distinct[new], pieces)
+            start, length = self._find(distinct)
+        start, length = start[inverse], length[inverse]
         total = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(self.starts[slots] - total[:-1], length) + np.arange(total[-1])
+        take = np.repeat(start - total[:-1], length) + np.arange(total[-1])
         return self.pool[take], np.diff(total[per_text])
 
 
