@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.decontam import contamination
+from quillon.llm.language_model import score_texts
 from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
 from quillon.llm.quality import quality_rules, train_quality
@@ -42,6 +43,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -61,6 +66,7 @@ def queries() -> dict:
         "op2_source_mix": op2_source_mix,
         "op3_token_ids": op3_token_ids,
         "op4_line_quality": op4_line_quality,
+        "op5_backoff_scores": op5_backoff_scores,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op10_minimax_shards": op10_minimax_shards,
