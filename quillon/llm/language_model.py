@@ -16,7 +16,6 @@ Keys are told apart by 48 bits of hash within their range.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import vec
+from quillon.llm.ranges import pack_keys, range_cuts, unpack_keys
 from quillon.llm.scratch import written
 
 U64 = np.uint64
@@ -105,29 +105,6 @@ class Block:
         return keys, np.bincount(at[self.train], minlength=len(keys))
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    part = ((keys >> U64(32)) * U64(parts)) >> U64(32)
-    return np.searchsorted(part, np.arange(parts + 1))
-
-
-def _pack_keys(keys: np.ndarray, part: int, parts: int) -> bytes:
-    """48 bits of each key within its range, as differences in as few bytes as the largest needs."""
-    low = U64(-(-(part << 32) // parts) << 32)
-    short = (keys - low) >> U64(max(0, 16 - parts.bit_length() + 1))
-    diff = np.diff(short, prepend=U64(0))
-    width = max(1, (int(diff.max()).bit_length() + 7) // 8)
-    body = np.ascontiguousarray(diff.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    return struct.pack("<B", width) + body.tobytes()
-
-
-def _unpack_keys(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(body), 8), np.uint8)
-    full[:, :width] = body
-    return np.cumsum(full.view("<u8").reshape(-1), dtype=U64)
-
-
 def _asked(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +113,10 @@ def _asked(parts: int):
                 out: list[tuple] = []
                 for kind in (0, 1):
                     keys, counts = block.keys(kind)
-                    cuts = _cuts(keys, parts)
+                    cuts = range_cuts(keys, parts)
                     for part in np.flatnonzero(np.diff(cuts)).tolist():
                         a, b = cuts[part], cuts[part + 1]
-                        out.append((kind, part, r["block"], _pack_keys(keys[a:b], part, parts), _squeeze(counts[a:b])))
+                        out.append((kind, part, r["block"], pack_keys(keys[a:b], part, parts), _squeeze(counts[a:b])))
                 if out:
                     kind, part, own, keys, counts = map(list, zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -152,7 +129,7 @@ def _asked(parts: int):
 
 def _told(table: pa.Table) -> pa.Table:
     """Adds up a range's counts over all blocks and answers each block in the order that it asked."""
-    keys = [_unpack_keys(x.as_py()) for x in table["keys"]]
+    keys = [unpack_keys(x.as_py()) for x in table["keys"]]
     counts = np.concatenate([_expand(x.as_py()) for x in table["counts"]]).astype(np.int64)
     size = np.array([len(k) for k in keys])
     every = np.concatenate(keys)

@@ -34,7 +34,12 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     full = np.zeros(n * bins, bool)
     sig[slot[first]] = values[first]
     full[slot[first]] = True
-    sig, full = sig.reshape(n, bins), full.reshape(n, bins)
+    return densified(sig.reshape(n, bins), full.reshape(n, bins))
+
+
+def densified(sig: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Signatures with their empty bins (not `full`) filled."""
+    bins = sig.shape[1]
     rows = np.flatnonzero(full.any(axis=1) & ~full.all(axis=1))
     base_sig, base_full, filled = sig[rows], full[rows], full[rows].copy()
     out = base_sig.copy()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.decontam import contamination
 from quillon.llm.language_model import score_texts
+from quillon.llm.line_dedup import deduplicated_lines, removed_by_document
 from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
 from quillon.llm.quality import quality_rules, train_quality
@@ -56,6 +57,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return removed_by_document(docs, deduplicated_lines(docs))
+
+
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_documents(spark, sf_dir))
 
@@ -69,6 +75,7 @@ def queries() -> dict:
         "op5_backoff_scores": op5_backoff_scores,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
+        "op9_line_dedup": op9_line_dedup,
         "op10_minimax_shards": op10_minimax_shards,
     }
 
