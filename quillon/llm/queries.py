@@ -14,6 +14,7 @@ from quillon.llm.mixing import mix_sources
 from quillon.llm.near_dup import near_duplicates
 from quillon.llm.quality import quality_rules, train_quality
 from quillon.llm.scratch import shared_dir
+from quillon.llm.secrets import made_findings, scan_secrets, train_forest
 from quillon.llm.sharding import shard_rows
 from quillon.llm.token_ids import read_token_ids, token_digests, write_token_ids
 from quillon.llm.toxicity import score_toxicity, train_toxicity
@@ -48,6 +49,10 @@ def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_documents(spark, sf_dir), train_forest(made_findings(spark)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -73,6 +78,7 @@ def queries() -> dict:
         "op3_token_ids": op3_token_ids,
         "op4_line_quality": op4_line_quality,
         "op5_backoff_scores": op5_backoff_scores,
+        "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_line_dedup": op9_line_dedup,
