@@ -1,11 +1,599 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+Parts are the classes (label: name; synonyms: brand and type), every twentieth part asks a query: by its name in capitals
+and without spaces, or by its type and brand. Embeddings give vectors to the parts of the same number.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import text as T
+from quillon.functions import vectors as V
+from quillon.operators import concepts as C
+from quillon.operators import dataset as D
+from quillon.operators import evaluate as E
+from quillon.operators import index as I
+from quillon.operators import retrieve as R
+from quillon.operators import score as S
+from quillon.operators import search as H
+from quillon.plans.sql import TOKEN, camel, norm, query
+from quillon.sources import tables as X
+
+SPEC = S.AlignConfig(R.RetrievalConfig("hybrid", 15, 15, 30, 0.5), cross_top_k=10, keep_top_n=5)
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL if there is one."""
+
+    def keep(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = query(sql)
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_concepts(spark: SparkSession, d: str) -> DataFrame:
+    iri, synonyms = F.concat(F.lit("part:"), F.col("p_partkey")), F.concat_ws(" | ", "p_brand", "p_type")
+    named = table(spark, d, "part").select(
+        iri.alias("iri"), F.lit("").alias("local_name"), F.col("p_name").alias("label"), F.lit("").alias("description"), synonyms.alias("synonyms"),
+        F.lit("").alias("parents_label"), F.lit("").alias("equivalent_to"), F.lit("").alias("disjoint_with"), F.col("p_partkey").alias("row_no"),
+    )
+    return C.internal_view(named)
+
+
+def class_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.concat(F.lit("part:"), F.col("vec_id")).alias("iri"), "embedding")
+
+
+def part_index(spark: SparkSession, d: str) -> I.Index:
+    return I.build_index(part_concepts(spark, d), vectors=class_vectors(spark, d))
+
+
+def _camel(c: str):
+    return F.regexp_replace(F.initcap(c), " ", "")
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    by_code = F.concat_ws(" ", "p_type", "p_brand", "p_type")
+    text = F.when(F.col("p_partkey") % 40 == 0, _camel("p_name")).otherwise(by_code)
+    return table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), text.alias("query"))
+
+
+def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding")
+    return asked(spark, d).select("query_id").join(vectors, "query_id")
+
+
+def _rounded(df: DataFrame, c: str = "score") -> DataFrame:
+    return df.withColumn(c, F.round(c, 6))
+
+
+# ---- functions ----
+
+
+@registered(f"SELECT p_partkey, {norm(chr(39) + '  ' + chr(39) + ' || upper(p_name) || chr(9) || chr(32) || p_type || chr(10)')} AS out FROM part")
+def normalize_label(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.normalize_label(F.concat(F.lit("  "), F.upper("p_name"), F.lit("\t "), F.col("p_type"), F.lit("\n"))).alias("out"))
+
+
+@registered(f"SELECT p_partkey, regexp_replace({camel('p_name')}, '([a-z])([A-Z])', '\\1 \\2', 'g') AS out FROM part")
+def camelcase_split(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.camelcase_split(_camel("p_name")).alias("out"))
+
+
+@registered(
+    f"SELECT p_partkey, trim(lower(regexp_replace(regexp_replace(regexp_replace({camel('p_name')} || '-' || p_brand, '([A-Z])', ' \\1', 'g'), '[^a-zA-Z0-9]', ' ', 'g'), '\\s+', ' ', 'g'))) AS out FROM part"
+)
+def miner_normalize(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.miner_normalize(F.concat(_camel("p_name"), F.lit("-"), F.col("p_brand"))).alias("out"))
+
+
+@registered(f"SELECT p_partkey, trim(lower(regexp_replace(replace('has_' || {camel('p_name')}, '_', ' '), '([A-Z])', ' \\1', 'g'))) AS out FROM part")
+def humanize_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.humanize_name(F.concat(F.lit("has_"), _camel("p_name"))).alias("out"))
+
+
+@registered(
+    f"""SELECT p_partkey, array_to_string(list_transform(list_filter(list_transform(string_split(p_brand || ' | | ' || p_type || '|', '|'), lambda x: trim(x)), lambda x: x <> ''),
+    lambda x: trim(lower(regexp_replace(regexp_replace(regexp_replace(x, '([A-Z])', ' \\1', 'g'), '[^a-zA-Z0-9]', ' ', 'g'), '\\s+', ' ', 'g')))), ';') AS out FROM part"""
+)
+def miner_synonyms(spark, d):
+    out = T.miner_synonyms(F.concat(F.col("p_brand"), F.lit(" | | "), F.col("p_type"), F.lit("|")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(out, ";").alias("out"))
+
+
+@registered("SELECT event_id, coalesce(nullif(trim(CASE WHEN user_id % 3 = 0 THEN '  ' WHEN user_id % 3 = 1 THEN ' ' || event_type ELSE NULL END), ''), trim(props)) AS out FROM events")
+def scoring_text_fallback(spark, d):
+    said = F.when(F.col("user_id") % 3 == 0, "  ").when(F.col("user_id") % 3 == 1, F.concat(F.lit(" "), F.col("event_type")))
+    return table(spark, d, "events").select("event_id", T.scoring_text(said, "props").alias("out"))
+
+
+@registered("SELECT event_id, CASE WHEN TRY_CAST(v AS DOUBLE) >= 0.5 THEN 1 WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 0 END AS out FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'yes' WHEN event_type = 'click' THEN NULL ELSE CAST(value / 50 AS VARCHAR) END AS v FROM events)")
+def as_flag(spark, d):
+    v = F.when(F.col("event_type") == "view", "yes").when(F.col("event_type") == "click", None).otherwise((F.col("value") / 50).cast("string"))
+    return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", V.as_flag("v").alias("out"))
+
+
+@registered(
+    "SELECT vec_id, round(1 / (1 + exp(-a)), 6) AS one, round(1 / (1 + exp(a - b)), 6) AS two, round(1 / (exp(a - m) + exp(b - m) + exp(c - m)), 6) AS three "
+    "FROM (SELECT *, greatest(a, b, c) AS m FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings))"
+)
+def scores_from_logits(spark, d):
+    at = lambda n: F.round(V.score_from_logits(F.slice("embedding", 1, n)), 6)
+    return table(spark, d, "embeddings").select("vec_id", at(1).alias("one"), at(2).alias("two"), at(3).alias("three"))
+
+
+@registered(
+    "SELECT vec_id, unnest(range(1, 3)) AS i, unnest([round((a[1] + a[3] * (vec_id % 2)) / (1 + vec_id % 2), 6), round((a[2] + a[4] * (vec_id % 2)) / (1 + vec_id % 2), 6)]) AS v "
+    "FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings)"
+)
+def mean_pool(spark, d):
+    hidden = F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 2))
+    pooled = V.mean_pool(hidden, F.array(F.lit(1), (F.col("vec_id") % 2).cast("int")))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(pooled).alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
+@registered(
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3 * CAST(x AS DOUBLE) * 3)) ** 0.5, 5) AS norm, round(embedding[1] / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) ** 0.5, 5) AS first FROM embeddings"
+)
+def l2_normalize(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("x"))
+    return v.select("vec_id", F.round(V.norm("x"), 5).alias("norm"), F.round(V.l2_normalized("x")[0].cast("double"), 5).alias("first"))
+
+
+@registered(
+    "SELECT total, ratio, CAST(total AS BIGINT) - CAST(round_even(total * least(1, greatest(0, ratio)), 0) AS BIGINT) AS k_lexical, CAST(round_even(total * least(1, greatest(0, ratio)), 0) AS BIGINT) AS k_semantic FROM (SELECT unnest([150, 75, 5, 10, 0]) AS total, unnest([0.3, 0.5, 0.5, 2.0, 0.5]) AS ratio)"
+)
+def split_budget(spark, d):
+    cases = [(150, 0.3), (75, 0.5), (5, 0.5), (10, 2.0), (0, 0.5)]
+    return spark.createDataFrame([(n, r, *R.split_budget(n, r)) for n, r in cases], "total int, ratio double, k_lexical long, k_semantic long")
+
+
+# ---- concepts and their index ----
+
+
+def _raw_nations(spark, d) -> DataFrame:
+    """Raw classes with annotations: nations, their regions as parents."""
+    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    texts = lambda *c: F.array(*c)
+    notes = F.map_from_arrays(
+        F.array(F.lit("definition"), F.lit("hasExactSynonym"), F.lit("relatedSynonym"), F.lit("note")),
+        F.array(
+            texts(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" nation of "), F.col("r_name"))).otherwise(F.lit("  "))),
+            texts(F.lower("n_name"), F.lit("")),
+            texts(F.concat(F.lit("n"), F.col("n_nationkey"))),
+            texts(F.lit("a note")),
+        ),
+    )
+    return joined.select(
+        F.concat(F.lit("nation:"), F.col("n_nationkey")).alias("iri"), F.col("n_name").alias("local_name"),
+        F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.initcap("n_name")).alias("label"),
+        F.concat(F.lit("sub class of "), F.lower("r_name")).alias("parents"), F.lit(None).cast("string").alias("equivalent_to"),
+        F.lit("").alias("disjoint_with"), notes.alias("annotations"), F.col("n_nationkey").alias("row_no"),
+    )
+
+
+_UNIFIED = """SELECT 'nation:' || CAST(n_nationkey AS VARCHAR) AS iri, n_name AS local_name,
+    CASE WHEN n_nationkey % 5 = 0 THEN n_name ELSE upper(n_name[1]) || lower(n_name[2:]) END AS label,
+    CASE WHEN n_nationkey % 2 = 0 THEN 'nation of ' || r_name ELSE 'a note' END AS description,
+    lower(n_name) || ' | ' || 'n' || CAST(n_nationkey AS VARCHAR) AS synonyms, 'sub class of ' || lower(r_name) AS parents_label, '' AS equivalent_to, '' AS disjoint_with
+    FROM nation JOIN region ON n_regionkey = r_regionkey"""
+
+
+@registered(_UNIFIED)
+def unified_view(spark, d):
+    return C.unified_view(_raw_nations(spark, d)).drop("row_no")
+
+
+@registered(f"SELECT iri, 'label: ' || label || '; description: ' || description || '; parents: ' || parents_label AS source_text FROM ({_UNIFIED})")
+def source_text(spark, d):
+    view = C.source_view(C.unified_view(_raw_nations(spark, d)), T.SourceTextConfig(use_parents=True))
+    return view.select(F.col("source_iri").alias("iri"), "source_text")
+
+
+@registered(f"SELECT iri, 'label: ' || label || '; description: ' || description || '; Synonyms: ' || synonyms || '; Parents: ' || parents_label AS target_text FROM ({_UNIFIED})")
+def target_text(spark, d):
+    return C.target_view(C.unified_view(_raw_nations(spark, d))).select(F.col("target_iri").alias("iri"), "target_text")
+
+
+@registered(f"SELECT iri, label FROM ({_UNIFIED}) WHERE starts_with(iri, 'nation:1')")
+def prefix_filter(spark, d):
+    return C.unified_view(_raw_nations(spark, d).where(F.col("iri").startswith("nation:1"))).select("iri", "label")
+
+
+@registered("SELECT iri, form, pos FROM forms")
+def class_forms(spark, d):
+    return C.forms(part_concepts(spark, d)).select("iri", "form", F.col("pos").cast("long").alias("pos"))
+
+
+@registered("SELECT form, count(*) AS n, min(iri) AS first FROM (SELECT DISTINCT form, iri FROM forms) GROUP BY form")
+def labels_to_classes(spark, d):
+    return I.labels_to_classes(C.forms(part_concepts(spark, d))).select("form", F.size("iris").cast("long").alias("n"), F.col("iris")[0].alias("first"))
+
+
+@registered("SELECT iri, token FROM postings")
+def token_sets(spark, d):
+    return I.token_sets(C.forms(part_concepts(spark, d)))
+
+
+@registered("SELECT token, count(*) AS n, string_agg(iri, ',' ORDER BY iri) AS iris FROM postings GROUP BY token")
+def inverted_index(spark, d):
+    made = I.inverted_index(I.token_sets(C.forms(part_concepts(spark, d))))
+    return made.select("token", F.size("iris").cast("long").alias("n"), F.array_join("iris", ",").alias("iris"))
+
+
+@registered("SELECT token, df, round(idf, 9) AS idf FROM idf")
+def idf(spark, d):
+    return part_index(spark, d).idf.select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@registered(f"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({norm("text")}, {TOKEN})) AS token FROM documents)
+    SELECT token, count(*) AS df, round(log10(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)), 9) AS idf FROM t GROUP BY token""")
+def documents_idf(spark, d):
+    docs = table(spark, d, "documents")
+    sets = docs.select(F.col("doc_id").alias("iri"), F.explode(F.array_distinct(T.tokens(T.normalize_label("text")))).alias("token"))
+    return I.inverse_document_frequency(sets, docs.count()).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@registered("SELECT p_name AS iri, arg_max(p_brand, p_partkey) AS text FROM part GROUP BY p_name")
+def text_map(spark, d):
+    return X.text_map(table(spark, d, "part").select(F.col("p_name").alias("iri"), F.col("p_brand").alias("text"), "p_partkey"), order="p_partkey")
+
+
+# ---- retrieval ----
+
+
+@registered("SELECT query_id, rank, iri, score, source FROM exact")
+def exact_match(spark, d):
+    return R.exact_candidates(asked(spark, d), part_index(spark, d)).select(*R.COLUMNS)
+
+
+@registered("SELECT query_id, rank, iri, round(score, 6) AS score FROM lexical_all WHERE rank <= 10")
+def lexical_topk(spark, d):
+    return _rounded(R.lexical_candidates(asked(spark, d), part_index(spark, d), 10)).select("query_id", "rank", "iri", "score")
+
+
+@registered(f"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({norm("text")}, {TOKEN})) AS token FROM documents),
+    w AS (SELECT token, log10(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)) AS idf FROM t GROUP BY token),
+    q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({norm("text")}, {TOKEN})) AS token FROM benchmark) GROUP BY item_id, token),
+    s AS (SELECT item_id AS query_id, 'doc:' || CAST(doc_id AS VARCHAR) AS iri, sum(times * idf) AS score FROM q JOIN w USING (token) JOIN t USING (token) WHERE idf > 0 GROUP BY 1, 2)
+    SELECT query_id, rank, iri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, iri) AS rank FROM s) WHERE rank <= 10""")
+def lexical_topk_documents(spark, d):
+    docs = table(spark, d, "documents")
+    spread = spark.sparkContext.defaultParallelism
+    forms = docs.select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("iri"), "text").repartition(spread)
+    postings = forms.select("iri", F.explode(F.array_distinct(T.tokens(T.normalize_label("text")))).alias("token"))
+    n = docs.count()
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = I.Index(None, postings, I.inverse_document_frequency(postings, n), None, None, n)
+    return _rounded(R.lexical_candidates(queries, index, 10)).select("query_id", "rank", "iri", "score")
+
+
+@registered("SELECT query_id, rank, iri, round(score, 6) AS score FROM semantic_all WHERE rank <= 10")
+def semantic_topk(spark, d):
+    return _rounded(R.semantic_candidates(asked_vectors(spark, d), class_vectors(spark, d), 10)).select("query_id", "rank", "iri", "score")
+
+
+@registered("SELECT query_id, rank, iri, round(score, 6) AS score FROM semantic_all WHERE rank <= 10")
+def semantic_topk_blocked(spark, d):
+    return _rounded(R.blocked_semantic_candidates(asked_vectors(spark, d), class_vectors(spark, d), 10)).select("query_id", "rank", "iri", "score")
+
+
+@registered("""SELECT query_id, rank, iri, round(score, 6) AS score FROM (
+    SELECT query_id, iri, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, iri) AS rank FROM (
+        SELECT query_id, iri, s.score / (sqrt(n.nn) * sqrt(m.nn) + 1e-12) AS score FROM semantic_all s
+        JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nn FROM embeddings) n ON n.vec_id = s.query_id + 1
+        JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nn FROM embeddings) m ON 'part:' || CAST(m.vec_id AS VARCHAR) = s.iri)) WHERE rank <= 10""")
+def semantic_topk_unnormalized(spark, d):
+    longer = class_vectors(spark, d).withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2.0).cast("float")))
+    return _rounded(R.semantic_candidates(asked_vectors(spark, d), longer, 10, normalized=False)).select("query_id", "rank", "iri", "score")
+
+
+@registered("SELECT query_id, rank, iri, round(score, 6) AS score, source FROM merged WHERE rank <= 20")
+def hybrid_merge(spark, d):
+    index, queries = part_index(spark, d), asked(spark, d)
+    rest = queries.join(R.exact_candidates(queries, index).select("query_id").distinct(), "query_id", "left_anti")
+    lexical = R.lexical_candidates(rest, index, 15)
+    semantic = R.semantic_candidates(asked_vectors(spark, d).join(rest, "query_id", "left_semi"), index.vectors, 15)
+    return _rounded(R.merge_candidates(lexical, semantic, 20)).select(*R.COLUMNS)
+
+
+@registered("""SELECT query_id, rank, iri, round(score, 6) AS score, source, source AS found FROM exact
+    UNION ALL SELECT query_id, rank, iri, round(score, 6), source, source FROM lexical WHERE rank <= 15
+    UNION ALL SELECT query_id, rank, iri, round(score, 6), source, source FROM semantic WHERE rank <= 15 AND query_id NOT IN (SELECT query_id FROM lexical)""")
+def retrieve_lexical_mode(spark, d):
+    config = R.RetrievalConfig("lexical", 15, 15)
+    return _rounded(R.retrieve(asked(spark, d), part_index(spark, d), config, asked_vectors(spark, d)))
+
+
+@registered("SELECT query_id, rank, iri, round(score, 6) AS score, source, found FROM hybrid")
+def retrieve_hybrid_mode(spark, d):
+    return _rounded(R.retrieve(asked(spark, d), part_index(spark, d), SPEC.retrieval, asked_vectors(spark, d)))
+
+
+# ---- scoring ----
+
+
+def _found(spark, d):
+    index = part_index(spark, d)
+    return index, R.retrieve(asked(spark, d), index, SPEC.retrieval, asked_vectors(spark, d))
+
+
+def _pairs(spark, d):
+    index, found = _found(spark, d)
+    return S.scoring_pairs(found, index.texts, SPEC.cross_top_k)
+
+
+@registered("SELECT query_id, iri, cand_rank, text FROM pairs")
+def scoring_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+@registered("SELECT query_id, iri, cand_rank, round(score, 6) AS score, place FROM placed")
+def pair_rerank(spark, d):
+    return _rounded(S.rank_scored(S.score_pairs(_pairs(spark, d), asked(spark, d))))
+
+
+@registered("SELECT query_id, predicted_iri, round(predicted_score, 6) AS predicted_score, num_scored FROM best")
+def best_prediction(spark, d):
+    return _rounded(S.best_predictions(S.score_pairs(_pairs(spark, d), asked(spark, d))), "predicted_score").drop("top")
+
+
+@registered("""SELECT query_id, max(CASE WHEN place = 1 THEN iri END) AS top1_iri, round(max(CASE WHEN place = 1 THEN score END), 6) AS top1_score,
+    max(CASE WHEN place = 2 THEN iri END) AS top2_iri, round(max(CASE WHEN place = 2 THEN score END), 6) AS top2_score FROM placed GROUP BY query_id""")
+def topn_wide(spark, d):
+    wide = S.top_columns(S.best_predictions(S.score_pairs(_pairs(spark, d), asked(spark, d)), 2), 2)
+    return _rounded(_rounded(wide, "top1_score"), "top2_score").select("query_id", "top1_iri", "top1_score", "top2_iri", "top2_score")
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    return S.align(asked(spark, d), part_index(spark, d), SPEC, query_vectors=asked_vectors(spark, d))
+
+
+@registered("SELECT query_id, attribute_text, retrieval_source, num_retrieved, num_scored, predicted_iri, round(predicted_score, 6) AS predicted_score FROM aligned")
+def align(spark, d):
+    return _rounded(aligned(spark, d), "predicted_score").drop("top")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return align(spark, d)
+
+
+# ---- datasets ----
+
+
+def source_classes(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").select(
+        F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("source_iri"), F.col("s_name").alias("source_label"), F.concat(F.lit("label: "), F.col("s_name")).alias("source_text")
+    )
+
+
+def target_classes(spark, d) -> DataFrame:
+    return part_concepts(spark, d).select(F.col("iri").alias("target_iri"), F.col("label").alias("target_label"), F.col("text").alias("target_text"), F.col("synonyms").alias("target_synonyms"))
+
+
+def alignment(spark, d) -> DataFrame:
+    rows = table(spark, d, "lineitem").where("l_quantity >= 49")
+    return rows.select(F.concat(F.lit("supplier:"), F.col("l_suppkey") * 2).alias("source_iri"), F.concat(F.lit("part:"), F.col("l_partkey")).alias("target_iri")).distinct()
+
+
+@registered("SELECT source_iri, target_iri FROM valid")
+def valid_alignment(spark, d):
+    return D.valid_alignment(alignment(spark, d), source_classes(spark, d), target_classes(spark, d))
+
+
+_BAD = """(contains(a, b) OR contains(b, a) OR (len(wa) > 0 AND len(wb) > 0 AND (len(list_intersect(wa, wb)) = len(list_distinct(wa)) OR len(list_intersect(wa, wb)) = len(list_distinct(wb))
+    OR contains(replace(a, ' ', ''), replace(b, ' ', '')) OR contains(replace(b, ' ', ''), replace(a, ' ', '')) OR list_contains(sb, a) OR list_contains(sa, b))))"""
+_NAMES = "SELECT p_name AS n, string_split(p_name, ' ') AS w, list_distinct(list(lower(p_type))) AS s FROM part GROUP BY p_name"
+
+
+@registered(f"""WITH names AS ({_NAMES}) SELECT x.n AS a, y.n AS b, {_BAD.replace("wa", "x.w").replace("wb", "y.w").replace("sa,", "x.s,").replace("sb,", "y.s,").replace("(a, ' '", "(x.n, ' '").replace("(b, ' '", "(y.n, ' '").replace("(a, b)", "(x.n, y.n)").replace("(b, a)", "(y.n, x.n)").replace(", a)", ", x.n)").replace(", b)", ", y.n)")} AS bad
+    FROM names x JOIN (SELECT split_part(n, ' ', 2) AS k, * FROM names) y ON split_part(x.n, ' ', 2) = y.k OR split_part(x.n, ' ', 1) = split_part(y.n, ' ', 1)""")
+def hard_negative_filter(spark, d):
+    names = table(spark, d, "part").groupBy("p_name").agg(F.collect_set(F.lower("p_type")).alias("s")).select(F.col("p_name").alias("n"), "s")
+    word = lambda c, i: F.split(c, " ")[i - 1]
+    x, y = (names.select(F.col("n").alias(k), F.col("s").alias("s" + k)) for k in "ab")
+    same = [x.join(y, word("a", i) == word("b", i)) for i in (1, 2)]
+    return same[0].union(same[1]).dropDuplicates(["a", "b"]).select("a", "b", D.is_bad_hard_negative(F.col("a"), F.col("b"), F.col("sa"), F.col("sb")).alias("bad"))
+
+
+@registered("SELECT source_iri, target_iri, round(score, 6) AS score FROM near_vectors n WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE n.source_iri = 'vec:' || CAST(e.vec_id AS VARCHAR) AND n.target_iri = 'part:' || CAST(e.vec_id AS VARCHAR))")
+def hard_negatives(spark, d):
+    vectors = table(spark, d, "embeddings")
+    side = lambda p, name, df: df.select(
+        F.concat(F.lit(name), F.col("vec_id")).alias(f"{p}_iri"), F.concat(F.lit(f"{p} "), F.col("vec_id")).alias(f"{p}_label"), F.lit(None).cast("string").alias(f"{p}_synonyms"), "embedding"
+    )
+    own = vectors.select(F.concat(F.lit("vec:"), F.col("vec_id")).alias("source_iri"), F.concat(F.lit("part:"), F.col("vec_id")).alias("target_iri"))
+    return _rounded(D.hard_negative_pool(side("source", "vec:", vectors.where("vec_id % 20 = 0")), side("target", "part:", vectors), own, 20, 0.1, 0.8))
+
+
+@registered("""SELECT r_name AS source_iri, p_type AS target_iri, 'random_negative' AS sample_type, 0 AS match
+    FROM region CROSS JOIN (SELECT DISTINCT p_type FROM part) WHERE NOT (r_name = 'ASIA' AND p_type = 'SMALL')
+    ORDER BY md5('42|' || r_name || '|' || p_type), r_name, p_type LIMIT 20""")
+def random_negatives(spark, d):
+    regions = table(spark, d, "region").select(F.col("r_name").alias("source_iri"))
+    types = table(spark, d, "part").select(F.col("p_type").alias("target_iri"))
+    taken = spark.createDataFrame([("ASIA", "SMALL")], "source_iri string, target_iri string")
+    return D.random_negatives(regions, types, taken, 20)
+
+
+@registered("""SELECT source_iri, target_iri, source_label, target_label, source_text, target_text, 'positive' AS sample_type, 1.0 AS match
+    FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri)""")
+def training_positives(spark, d):
+    positives = D.valid_alignment(alignment(spark, d), source_classes(spark, d), target_classes(spark, d))
+    return D.with_texts(positives.select("source_iri", "target_iri", F.lit("positive").alias("sample_type"), F.lit(1).alias("match")), source_classes(spark, d), target_classes(spark, d))
+
+
+@registered("SELECT sample_type, match, CASE WHEN sample_type = 'positive' THEN n ELSE n // 2 END AS n FROM (SELECT unnest(['positive', 'random_negative']) AS sample_type, unnest([1.0, 0.0]) AS match, (SELECT count(*) FROM valid) AS n)")
+def training_dataset(spark, d):
+    """Counts of each kind of sample; without vectors the pool of hard negatives is empty."""
+    none = F.array().cast("array<float>")
+    sources = source_classes(spark, d).withColumns({"source_synonyms": F.lit(""), "embedding": none})
+    made = D.training_dataset(sources, target_classes(spark, d).withColumn("embedding", none), alignment(spark, d))
+    return made.groupBy("sample_type", "match").agg(F.count("*").alias("n"))
+
+
+_SPLIT = """SELECT doc_id, toxic, CASE WHEN place <= t THEN 'test' WHEN place <= t + ceil((n - t) * (0.15 / (0.75 + 0.15)) - 1e-9) THEN 'val' ELSE 'train' END AS split
+    FROM (SELECT *, ceil(n * 0.10 - 1e-9) AS t FROM (SELECT doc_id, toxic, count(*) OVER (PARTITION BY toxic) AS n,
+        row_number() OVER (PARTITION BY toxic ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM labels))"""
+
+
+@registered(_SPLIT)
+def stratified_split(spark, d):
+    return D.stratified_split(table(spark, d, "labels"), by="toxic", keys=("doc_id",)).select("doc_id", "toxic", "split")
+
+
+@registered("""SELECT source_iri, min(source_label) AS source_label, string_agg(target_iri, ',' ORDER BY target_iri) AS gold
+    FROM valid JOIN source_classes USING (source_iri) GROUP BY source_iri""")
+def queries_gold(spark, d):
+    made = D.queries_with_gold(training_positives(spark, d))
+    return made.select("source_iri", "source_label", F.array_join("gold_target_iris", ",").alias("gold"))
+
+
+# ---- evaluation ----
+
+
+def gold(spark, d) -> DataFrame:
+    part = table(spark, d, "part")
+    least = part.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    iri = lambda c: F.concat(F.lit("part:"), F.col(c))
+    return part.where("p_partkey % 20 = 0").join(least, "p_name").select(
+        F.col("p_partkey").alias("query_id"), F.array(iri("p_partkey"), iri("k")).alias("gold_target_iris"), (F.col("p_size") >= 10).cast("int").alias("match")
+    )
+
+
+def judged(spark, d) -> DataFrame:
+    merged, _ = E.join_predictions(gold(spark, d), aligned(spark, d), id_col="query_id")
+    return merged
+
+
+@registered("SELECT p_partkey, array_to_string(g, ';') AS gold FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_name, p_type] WHEN p_partkey % 3 = 1 THEN [p_brand] ELSE [] END AS g FROM part)")
+def parse_gold(spark, d):
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("['"), F.col("p_name"), F.lit("', '"), F.col("p_type"), F.lit("']"))).when(F.col("p_partkey") % 3 == 1, F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(E.gold_list(said), ";").alias("gold"))
+
+
+@registered("SELECT query_id, predicted_iri, own || ';' || same AS gold, match FROM judged")
+def eval_join(spark, d):
+    return judged(spark, d).select("query_id", "predicted_iri", F.array_join("gold_target_iris", ";").alias("gold"), "match")
+
+
+@registered("""SELECT count(*) AS n, round(avg(CASE WHEN predicted_iri IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage,
+    (SELECT string_agg(retrieval_source || '=' || CAST(c AS VARCHAR), ';' ORDER BY c DESC, retrieval_source) FROM (SELECT retrieval_source, count(*) AS c FROM aligned GROUP BY 1)) AS distribution FROM aligned""")
+def basic_stats(spark, d):
+    made = E.basic_stats(aligned(spark, d))
+    shares = F.array_join(F.transform("distribution", lambda x: F.concat(x["source"], F.lit("="), F.round(x["share"] * F.col("n")).cast("long"))), ";")
+    return made.select("n", F.round("coverage", 6).alias("coverage"), shares.alias("distribution"))
+
+
+@registered("SELECT round(avg(CASE WHEN own IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS gold_attach_rate FROM aligned LEFT JOIN gold USING (query_id)")
+def gold_attach_rate(spark, d):
+    return _rounded(E.gold_attach_rate(judged(spark, d)), "gold_attach_rate")
+
+
+_MEASURES = """count(*) AS n_pos, round(avg(CASE WHEN best_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS precision_at_1_pos,
+    round(avg(CASE WHEN best_rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hits_at_k_pos, round(avg(coalesce(1.0 / best_rank, 0)), 6) AS mrr_at_k_pos"""
+
+
+def _rounded_measures(df: DataFrame) -> DataFrame:
+    for c in E.METRICS[1:]:
+        df = _rounded(df, c)
+    return df
+
+
+@registered(f"SELECT {_MEASURES} FROM judged WHERE match = 1")
+def ranking_metrics(spark, d):
+    return _rounded_measures(E.ranking_metrics(judged(spark, d), k=5))
+
+
+_BY_SOURCE = f"""SELECT 'overall' AS scope, 'ALL' AS retrieval_source, {_MEASURES} FROM judged WHERE match = 1
+    UNION ALL SELECT 'by_source', retrieval_source, {_MEASURES} FROM judged WHERE match = 1 GROUP BY retrieval_source"""
+
+
+@registered(_BY_SOURCE)
+def metrics_by_source(spark, d):
+    return _rounded_measures(E.metrics_by_source(judged(spark, d), k=5))
+
+
+@registered(f"""SELECT 'old' AS "EVAL_RUN_ID", NULL AS scope, NULL AS retrieval_source, NULL AS n_pos, NULL AS join_method
+    UNION ALL SELECT 'new', scope, retrieval_source, n_pos, 'id' FROM ({_BY_SOURCE})""")
+def metrics_append(spark, d):
+    merged, plan = E.join_predictions(gold(spark, d), aligned(spark, d), id_col="query_id")
+    old = spark.createDataFrame([("old",)], "EVAL_RUN_ID string")
+    rows = E.metrics_rows(merged, E.basic_stats(merged), plan, 5, {"MODEL_TYPE": "overlap"}, "new", old)
+    return rows.select("EVAL_RUN_ID", "scope", "retrieval_source", "n_pos", "join_method")
+
+
+_CURVE = """steps AS (SELECT round(score, 4) AS s, sum(quality) AS pos, count(*) AS n FROM lab GROUP BY round(score, 4)),
+    curve AS (SELECT s, pos, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(pos) OVER () AS all_pos, sum(n) OVER () AS total,
+        lead(s) OVER (ORDER BY s DESC) AS below FROM steps)"""
+
+
+def _labelled(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 1000 / 1000).alias("score"))
+    return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", F.col("quality").alias("label"), "score")
+
+
+_LABELLED = "WITH lab AS (SELECT doc_id, quality, CAST(n_chars % 1000 AS DOUBLE) / 1000 AS score FROM labels JOIN documents USING (doc_id)), "
+
+
+@registered(
+    _LABELLED + _CURVE + """ SELECT round((tp + tn) / n, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+    round(2 * tp / (2 * tp + fp + fn), 6) AS f1, (SELECT round(sum(pos / all_pos * tp / seen), 6) FROM curve) AS average_precision
+    FROM (SELECT CAST(sum(CASE WHEN score > 0.5 AND quality = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp, sum(CASE WHEN score > 0.5 AND quality = 0 THEN 1 ELSE 0 END) AS fp,
+        sum(CASE WHEN score <= 0.5 AND quality = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN score <= 0.5 AND quality = 0 THEN 1 ELSE 0 END) AS tn, count(*) AS n FROM lab)"""
+)
+def classification_metrics(spark, d):
+    made = E.classification_metrics(_labelled(spark, d))
+    for c in made.columns:
+        made = _rounded(made, c)
+    return made
+
+
+@registered(
+    _LABELLED + _CURVE + """ SELECT round(coalesce((s + below) / 2, s - 1e-4), 6) AS threshold, round((tp + (total - seen) - (all_pos - tp)) / total, 6) AS accuracy
+    FROM curve ORDER BY (tp + (total - seen) - (all_pos - tp)) DESC, s DESC LIMIT 1"""
+)
+def best_threshold(spark, d):
+    return _rounded(_rounded(E.best_threshold(_labelled(spark, d)), "threshold"), "accuracy")
+
+
+# ---- search, graph, settings ----
+
+
+@registered("""SELECT id, side, count(*) AS degree FROM (
+    SELECT src AS id, 'source' AS side FROM (SELECT DISTINCT source_label AS src, target_label AS dst FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri))
+    UNION ALL SELECT dst, 'target' FROM (SELECT DISTINCT source_label AS src, target_label AS dst FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri))) GROUP BY id, side""")
+def alignment_graph(spark, d):
+    return H.alignment_graph(training_positives(spark, d))[0]
+
+
+@registered("""SELECT 0 AS trial, round(avg(CASE WHEN predicted_iri IN (own, same) THEN 1.0 ELSE 0.0 END), 6) AS precision_at_1_pos FROM judged WHERE match = 1""")
+def config_search(spark, d):
+    state = H.prepare(asked(spark, d), part_index(spark, d), asked_vectors(spark, d), most=15)
+    made = H.search(state, gold(spark, d), [H.Trial(15, 15, 30, 0.5, 10)])
+    return _rounded(made.select("trial", "precision_at_1_pos"), "precision_at_1_pos")
+
+
+@registered("SELECT unnest(['MODEL_TYPE', 'CROSS_TOP_K', 'KEEP_TOP_N']) AS key, unnest(['cross: x', '20', '5']) AS value")
+def config_parse(spark, d):
+    lines = ["# a comment", "[section]", "", "model_type = cross: x", "CROSS_TOP_K: 20", "UNKNOWN = 1", " keep_top_n=5 "]
+    return X.config_rows(spark.createDataFrame([(x,) for x in lines], "value string"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
