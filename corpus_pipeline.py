@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.decontam import with_regions
+from quillon.llm.decontam import regions_of
 from quillon.llm.mixing import mixed_rows
 from quillon.llm.near_dup import near_duplicates
 from quillon.llm.scratch import written
@@ -21,19 +21,18 @@ from quillon.llm.toxicity import toxicity_udf, train_toxicity
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under 0.5; the model learns from the labelled rows outside the held-out fold."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = toxicity_udf(spark, model)(F.col("text"))
-    return docs.withColumn("_score", score).where("_score < 0.5").drop("_score")
+    return docs.where(toxicity_udf(spark, model)(F.col("text")) < 0.5)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that stand for their group of near duplicates."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item occurs."""
-    return with_regions(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("regions") == 0).drop("regions")
+    return docs.where(F.size(regions_of(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))) == 0)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import vec
@@ -184,15 +184,15 @@ def _search_udf(spark, index: ItemIndex):
     return regions
 
 
-def with_regions(
-    docs: DataFrame, items: DataFrame, rate: float = 0.06, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 1 << 24
-) -> DataFrame:
-    """The rows of `docs` with `regions`: the occurrences of benchmark items, by item and place.
+def regions_of(
+    text: Column, items: DataFrame, rate: float = 0.06, item_id: str = "item_id", item_text: str = "text", block_chars: int = 1 << 24
+) -> Column:
+    """The occurrences of benchmark items in a text column, by item and place.
 
     An occurrence has at most rate * m edits of the item's m characters (fewer for items so short that the filter
     would not bound them: at most (m - 12) / 12; items under 12 characters are found as whole words only). first and
     last are byte offsets in the original text, last exclusive. Null and empty texts have no regions; null and empty
-    items are nowhere. `docs` isn't shuffled. The items are sent to the executors in blocks of about `block_chars`
+    items are nowhere. The texts aren't shuffled. The items are sent to the executors in blocks of about `block_chars`
     characters, one after another if there are more: what is broadcast is bounded by that.
     """
     total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -202,13 +202,13 @@ def with_regions(
     for block in range(blocks):
         part = listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else listed
         index = ItemIndex.build(sorted({(r.i, r.t) for r in part.collect() if r.i is not None}, key=lambda x: (x[0], x[1] or "")), rate)
-        columns.append(_search_udf(docs.sparkSession, index)(F.col(text_col).cast("string")))
-    return docs.withColumn("regions", columns[0] if len(columns) == 1 else F.array_sort(F.concat(*columns)))
+        columns.append(_search_udf(items.sparkSession, index)(text.cast("string")))
+    return columns[0] if len(columns) == 1 else F.array_sort(F.concat(*columns))
 
 
 def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, contaminated, item_ids, n_regions, regions, kept) of each row of `docs`; kept is not contaminated."""
-    rows = with_regions(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, rate)
+    rows = docs.select(F.col(id_col).alias("doc_id"), regions_of(F.col(text_col), items, rate).alias("regions"))
     return rows.select(
         "doc_id",
         (F.size("regions") > 0).alias("contaminated"),

@@ -32,7 +32,7 @@ from quillon.llm.scratch import written
 U64 = np.uint64
 END = U64(0x3C6EF372FE94F82B)
 START = U64(0xA54FF53A5F1D36F1)
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 3 << 20
 RANGE_TOKENS = 2_000_000
 LEVELS = np.array([0.02, 0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 0.95])
 CLASSES = 12
@@ -191,7 +191,7 @@ class BackoffAutomaton:
         share = (self.bigrams[b.bigram[at]] - 1) / (context - 1)
         p = self.word_probability(self.words[b.tokens[at]], 1)
         kind = np.minimum(CLASSES - 1, np.log2(context) // 2).astype(np.int64)
-        return np.stack([np.bincount(kind, np.log10(v * share + (1 - v) * p), CLASSES) for v in LEVELS], axis=1)
+        return np.stack([np.bincount(kind, np.log10(v * share + (1 - v) * p), CLASSES) for v in LEVELS], axis=1).astype(float)
 
 
 def _scored(n_train: int, n_known: int):
@@ -215,7 +215,7 @@ def _scored(n_train: int, n_known: int):
             slot = (block.text * CLASSES + kind)[~lone]
             parts = np.stack(
                 [np.bincount(slot, np.log10(v * share[~lone] + (1 - v) * p[~lone]), n * CLASSES) for v in LEVELS], axis=1
-            ).reshape(n, -1)
+            ).reshape(n, -1).astype(float)
             left = automaton.left_out().reshape(-1)
             out.append(
                 pa.table(
@@ -224,8 +224,8 @@ def _scored(n_train: int, n_known: int):
                         "held_out": pa.array(held),
                         "n_tokens": pa.array(lengths.astype(np.int64)),
                         "n_known": pa.array(np.bincount(block.text, known, n).astype(np.int64)),
-                        "base_score": pa.array(np.bincount(block.text, log_p, n)),
-                        "rest": pa.array(np.bincount(block.text[lone], log_p[lone], n)),
+                        "base_score": pa.array(np.bincount(block.text, log_p, n).astype(float)),
+                        "rest": pa.array(np.bincount(block.text[lone], log_p[lone], n).astype(float)),
                         "parts": pa.array(list(parts), pa.list_(pa.float64())),
                         "left_out": pa.array([left] + [None] * (n - 1), pa.list_(pa.float64())),
                     }

@@ -39,20 +39,17 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
 
 def densified(sig: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Signatures with their empty bins (not `full`) filled."""
-    bins = sig.shape[1]
-    rows = np.flatnonzero(full.any(axis=1) & ~full.all(axis=1))
-    base_sig, base_full, filled = sig[rows], full[rows], full[rows].copy()
-    out = base_sig.copy()
-    live = np.arange(len(rows))
-    for ask in probe_order(bins):
-        if not len(live):
+    order = probe_order(sig.shape[1])
+    rows, bins = np.nonzero(~full & full.any(axis=1)[:, None])
+    out = sig.copy()
+    for ask in order:
+        if not len(rows):
             break
-        hit = ~filled[live] & base_full[live][:, ask]
-        out[live] = np.where(hit, base_sig[live][:, ask], out[live])
-        filled[live] |= hit
-        live = live[~filled[live].all(axis=1)]
-    sig[rows] = out
-    return sig
+        asked = ask[bins]
+        hit = full[rows, asked]
+        out[rows[hit], bins[hit]] = sig[rows[hit], asked[hit]]
+        rows, bins = rows[~hit], bins[~hit]
+    return out
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:

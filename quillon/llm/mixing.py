@@ -174,9 +174,10 @@ def mix_sources(docs: DataFrame, config: MixConfig = MixConfig(), text_col: str
 
 def mixed_rows(docs: DataFrame, config: MixConfig = MixConfig(), text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of `docs`, all columns, each as often as the mix takes it."""
-    names = docs.columns
-    rows = keyed(docs, word_count(F.col(text_col)), quality_weight(F.col(text_col)), config, id_col, source_col)
+    whole = docs.select(F.struct("*").alias("mix_row"))
+    text = F.col(f"mix_row.{text_col}")
+    rows = keyed(whole, word_count(text), quality_weight(text), config, f"mix_row.{id_col}", f"mix_row.{source_col}")
     slim = written(rows.select("mix_id", "mix_size", "mix_source", "mix_key"), "mix-keys")
     plan = written(plan_mix(slim, config), "mix-plan")
     taken = apply_mix(rows, plan).where("copies > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("mix_row.*")

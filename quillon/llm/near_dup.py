@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import minhash, vec
@@ -14,7 +14,7 @@ from quillon.llm.components import components
 from quillon.llm.scratch import written
 
 _SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
-_SETS = "d1 long, d2 long, shingles array<long>"
+_SETS = "d1 long, d2 long, content array<long>"
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
@@ -51,7 +51,7 @@ def _full_sets(shingle: int):
                 d1, d2 = minhash.set_digests(values, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _lists(values, bounds)],
-                    ["d1", "d2", "shingles"],
+                    ["d1", "d2", "content"],
                 )
 
     return run
@@ -77,10 +77,20 @@ def _star_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int, spread: int = 128) -> DataFrame:
-    """Edges (me, hub) whose full sets meet den * |intersection| >= num * |union|, as (a, b) of documents.
+def similar_sets(num: int, den: int):
+    """Whether two arrays of distinct values meet den * |intersection| >= num * |union|."""
 
-    A hub's set is copied once for each `spread` members rather than brought to every one of them, and a
+    def test(mine: Column, theirs: Column) -> Column:
+        shared = F.size(F.array_intersect(mine, theirs)).cast("long")
+        return F.lit(den) * shared >= F.lit(num) * (F.size(mine) + F.size(theirs) - shared)
+
+    return test
+
+
+def confirmed(edges: DataFrame, contents: DataFrame, similar: Callable[[Column, Column], Column], spread: int = 128) -> DataFrame:
+    """Edges (me, hub) whose contents (d1, d2, content) are similar, as (a, b) of documents.
+
+    A hub's content is copied once for each `spread` members rather than brought to every one of them, and a
     hub with many members is dealt over as many tasks.
     """
     degree = edges.groupBy(F.col("hub.d1").alias("h1"), F.col("hub.d2").alias("h2")).agg(F.count("*").alias("degree"))
@@ -91,14 +101,12 @@ def confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int, spread: int
     )
     hubs = (
         degree.withColumn("salt", F.explode(F.expr(f"sequence(0L, ceil(degree / {spread}) - 1)")))
-        .join(sets.withColumnsRenamed({"d1": "h1", "d2": "h2", "shingles": "theirs"}), ["h1", "h2"])
+        .join(contents.withColumnsRenamed({"d1": "h1", "d2": "h2", "content": "theirs"}), ["h1", "h2"])
         .select("h1", "h2", "salt", "theirs")
     )
-    mine = salted.withColumns({"d1": F.col("me.d1"), "d2": F.col("me.d2")}).join(sets, ["d1", "d2"])
-    both = mine.join(hubs, ["h1", "h2", "salt"]).withColumn("shared", F.size(F.array_intersect("shingles", "theirs")).cast("long"))
-    return both.where(
-        F.lit(den) * F.col("shared") >= F.lit(num) * (F.size("shingles") + F.size("theirs") - F.col("shared"))
-    ).select(F.col("me.rep").alias("a"), F.col("hub.rep").alias("b"))
+    mine = salted.withColumns({"d1": F.col("me.d1"), "d2": F.col("me.d2")}).join(contents, ["d1", "d2"])
+    both = mine.join(hubs, ["h1", "h2", "salt"])
+    return both.where(similar(F.col("content"), F.col("theirs"))).select(F.col("me.rep").alias("a"), F.col("hub.rep").alias("b"))
 
 
 def near_duplicates(
@@ -120,8 +128,9 @@ def near_duplicates(
     least id reachable over confirmed links, kept says that it is the row's own id.
 
     Null texts, empty texts and texts of separators alone have no shingles and are linked with nothing; a text
-    of fewer words than `shingle` has one, its whole sequence. Rows that share an id count as one document: they
-    share a component. Rows with a null id keep a null component, and are kept. Other columns are not read.
+    of fewer words than `shingle` has one, its whole sequence. Rows that repeat an id and
+    a text are one document; an id with several texts has a component for each. Rows with a null id keep a null
+    component, and are kept. Without rows the result is empty. Other columns are not read.
     """
     name = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(name.mapInArrow(_signed(shingle, bins, rows), _SIGNED), "minhash")
@@ -137,18 +146,17 @@ def near_duplicates(
         name.join(involved, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), _SETS).dropDuplicates(["d1", "d2"]),
         "sets",
     )
-    labels = components(confirmed(edges, sets, num, den))
+    labels = components(confirmed(edges, sets, similar_sets(num, den)))
     member = classes.select("d1", "d2", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    # A document whose id occurs with several texts belongs to the least of their components.
     return (
         signed.select("id", "n_shingles", "d1", "d2")
         .join(member, ["d1", "d2"], "left")
         .select(
             F.col("id").alias("doc_id"),
             "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+            F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

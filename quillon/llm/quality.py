@@ -197,7 +197,7 @@ def fit(texts: list[str], good: list[int], max_lines: int = 80, steps: int = 120
     found = [measure(buf, offs) for _, _, buf, offs in vec.text_chunks(pa.array([t or "" for t in texts], pa.large_string()))]
     y_text = np.array(good, np.int64)
     everything = LineField(np.zeros(FEATURES), np.ones(FEATURES), np.r_[1.0, np.zeros(FEATURES - 1)], np.zeros((2, 2)), np.zeros(2))
-    if not found or y_text.min() == y_text.max():
+    if not found or y_text.min() == y_text.max() or not any(len(m.words) for m in found):
         return everything
     per_text = [m.features[m.bounds[i] : m.bounds[i + 1]][:max_lines] for m in found for i in range(len(m.bounds) - 1)]
     used = [i for i, f in enumerate(per_text) if len(f)]

@@ -181,8 +181,9 @@ def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, least:
 
 def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, with the secrets found in them replaced by a mark."""
-    found = findings.where("n_secrets > 0").select(F.col("doc_id").alias("_id"), F.col("secrets").alias("_secrets")).dropDuplicates(["_id"])
-    longest = F.array_sort(F.array_distinct("_secrets"), lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(longest, F.col(text_col), lambda acc, s: F.replace(acc, s, F.lit(mark)))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    found = findings.where("n_secrets > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("secrets").alias("_secrets"))
+    longest = F.array_sort(F.array_distinct(found["_secrets"]), lambda a, b: F.length(b) - F.length(a))
+    clean = F.aggregate(longest, docs[text_col], lambda acc, s: F.replace(acc, s, F.lit(mark)))
+    clean = F.when(found["_secrets"].isNull(), docs[text_col]).otherwise(clean)
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left")
+    return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])

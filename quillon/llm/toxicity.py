@@ -263,7 +263,7 @@ def fit(texts: list[str], toxic: list[int], span: int = 7, decay: float = 0.6, l
     """Fits the machine to labelled texts. With one class only, or no texts, all scores are the class's rate."""
     y = np.array(toxic, bool)
     size = (MARKS + 1) ** ORDER
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (y.sum() + 0.5) / (len(y) + 2)
     strings, bags = _distinct_strings(t or "" for t in texts)
     flat = ToxicityModel(np.zeros(size, np.float32), -1.0, 0.0, float(np.log(rate / (1 - rate))), span, decay)
     if not y.any() or y.all() or not len(strings):
