@@ -137,11 +137,11 @@ class ToxicityModel:
 
     def margins(self, strings: np.ndarray) -> np.ndarray:
         sub, out = Subsequences(self.span, self.decay), np.empty(len(strings))
-        for at in range(0, len(strings), 4096):
-            part = strings[at : at + 4096]
+        for at in range(0, len(strings), 1024):
+            part = strings[at : at + 1024]
             codes = sub.codes(part)
             raw = (self.weights[codes] * sub.weights).sum(axis=1)
-            out[at : at + 4096] = raw / np.maximum(self._norms(codes, sub.weights), 1e-9) + self.bias
+            out[at : at + 1024] = raw / np.maximum(self._norms(codes, sub.weights), 1e-9) + self.bias
         return out
 
     @staticmethod
@@ -197,7 +197,7 @@ def _distinct_strings(texts: Iterable[str]) -> tuple[np.ndarray, list[np.ndarray
     """(distinct strings, the indices of each text's own)."""
     table: dict[bytes, int] = {}
     per_text = []
-    for row, end, buf, offs in vec.text_chunks(pa.array(list(texts), pa.large_string())):
+    for row, end, buf, offs in vec.text_chunks(pa.array(list(texts), pa.large_string()), 1 << 17):
         starts, ends, bounds = unit_spans(buf, offs)
         strings, unit = strings_of(buf, starts, ends)
         index = np.fromiter((table.setdefault(s.tobytes(), len(table)) for s in strings), np.int64, len(strings))
@@ -209,28 +209,25 @@ def _distinct_strings(texts: Iterable[str]) -> tuple[np.ndarray, list[np.ndarray
 
 def _first_witnesses(strings: np.ndarray, bags: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """A value of each string: the evidence of its most telling run of four or more symbols (signed G statistic)."""
-    runs: dict[bytes, list[int]] = {}
-    for i, s in enumerate(strings):
-        raw = s.tobytes().rstrip(b"\0")
-        for size in (4, 5, 6):
-            for at in range(max(0, len(raw) - size) + 1):
-                runs.setdefault(raw[at : at + size], []).append(i)
-    of_string: list[list[int]] = [[] for _ in range(len(strings))]
-    for r, members in enumerate(runs.values()):
-        for i in set(members):
-            of_string[i].append(r)
-    hits, clean = Counter(), Counter()
-    for bag, t in zip(bags, toxic, strict=True):
-        (hits if t else clean).update({r for i in bag.tolist() for r in of_string[i]})
     nt, nc = int(toxic.sum()), int((~toxic).sum())
-    value = np.zeros(len(runs))
-    for r, h in hits.items():
-        c = clean[r]
-        p = (h + c) / (nt + nc)
-        expected = nt * p
-        if h > expected:
-            value[r] = 2 * (h * np.log(h / expected) + (c * np.log(c / (nc * p)) if c else 0))
-    return np.array([max((value[r] for r in rs), default=0.0) for rs in of_string])
+    best = np.zeros(len(strings), np.float32)
+    for size in (4, 5, 6):
+        runs = np.zeros((len(strings), WIDTH - size + 1), np.uint32)
+        for i in range(size):
+            runs = runs * np.uint32(MARKS + 1) + strings[:, i : i + WIDTH - size + 1]
+        runs[strings[:, size - 1 :] == 0] = 0
+        distinct, of_string = np.unique(runs, return_inverse=True)
+        of_string = of_string.reshape(len(strings), -1).astype(np.int32)
+        hits, clean = np.zeros(len(distinct)), np.zeros(len(distinct))
+        for bag, t in zip(bags, toxic, strict=True):
+            (hits if t else clean)[np.unique(of_string[bag])] += 1
+        p = (hits + clean) / (nt + nc)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = 2 * (hits * np.log(hits / (nt * p)) + np.where(clean > 0, clean * np.log(clean / (nc * p)), 0))
+        value = np.where((hits > nt * p) & (distinct > 0), g, 0).astype(np.float32)
+        for column in of_string.T:
+            np.maximum(best, value[column], out=best)
+    return best
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
@@ -289,7 +286,6 @@ def fit(texts: list[str], toxic: list[int], span: int = 7, decay: float = 0.6, l
             [sorted(positives, key=lambda i: (-witness[i], i))[: landmarks // 2], rng.permutation(negatives)[: landmarks // 2]]
         ).astype(np.int64)
         mark_row, mark_code, mark_value = sub.features(strings[chosen])
-        dense = np.zeros((size, 0), np.float32)
         used = np.unique(mark_code)
         dense = np.zeros((len(used) + 1, len(chosen)), np.float32)
         dense[np.searchsorted(used, mark_code), mark_row] = mark_value
@@ -300,14 +296,14 @@ def fit(texts: list[str], toxic: list[int], span: int = 7, decay: float = 0.6, l
 
         def kernel(index: np.ndarray) -> np.ndarray:
             out = np.zeros((len(index), len(chosen)))
-            for at in range(0, len(index), 2000):
-                row, code, weight = sub.features(strings[index[at : at + 2000]])
+            for at in range(0, len(index), 256):
+                some = index[at : at + 256]
+                row, code, weight = sub.features(strings[some])
                 place = np.searchsorted(used, code)
                 here = np.flatnonzero((place < len(used)) & (used[np.minimum(place, len(used) - 1)] == code))
-                part = dense[place[here]] * weight[here][:, None]
-                cut = np.searchsorted(row[here], np.arange(len(index[at : at + 2000]) + 1))
-                total = np.concatenate([np.zeros((1, part.shape[1])), np.cumsum(part, axis=0, dtype=np.float64)])
-                out[at : at + 2000] = total[cut[1:]] - total[cut[:-1]]
+                rows, first = np.unique(row[here], return_index=True)
+                if len(rows):
+                    out[at + rows] = np.add.reduceat(dense[place[here]] * weight[here][:, None].astype(np.float32), first, axis=0)
             return out
 
         index = np.concatenate([positives, negatives])
