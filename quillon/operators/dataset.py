@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import miner_normalize, miner_synonyms, text_of
 from quillon.operators.retrieve import semantic_candidates
 from quillon.sources.rdf import first_rows
+from quillon.sources.tables import with_row_no
 
 PAIR_COLUMNS = ["source_iri", "target_iri", "source_label", "target_label", "source_text", "target_text", "sample_type", "match"]
 
@@ -80,7 +81,7 @@ def random_negatives(sources: DataFrame, targets: DataFrame, taken: DataFrame, n
         draws = spark.range(rounds * num).select(
             F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_s)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_t)).alias("j")
         )
-        numbered = lambda df, c, k: df.withColumn(k, F.row_number().over(Window.orderBy(*sample_order(seed, c))).cast("long") - 1)
+        numbered = lambda df, c, k: with_row_no(df.withColumn("_md5", sample_order(seed, c)[0]), "_md5", c).select(c, F.col("row_no").alias(k))
         pool = draws.distinct().join(numbered(s, "source_iri", "i"), "i").join(numbered(t, "target_iri", "j"), "j").select("source_iri", "target_iri")
     left = pool.join(done, ["source_iri", "target_iri"], "left_anti")
     picked = left.orderBy(*sample_order(seed, "source_iri", "target_iri")).limit(num)
@@ -119,12 +120,22 @@ def stratified_split(pairs: DataFrame, ratios: tuple[float, float, float] = (0.7
     if group:
         units = pairs.groupBy(group).agg(F.max(by).alias(by))
         return pairs.join(stratified_split(units, ratios, seed, by, (group,)).select(group, "split"), group)
-    n = F.count("*").over(Window.partitionBy(by))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*sample_order(seed, *keys)))
+    # A stratum's order is cut at two places. Its rows are dealt by the first digits of their MD5, so that no task has
+    # all of them: a row's place is the rows of the stratum's earlier digits and its own among its digits'.
+    md5, *rest = sample_order(seed, *keys)
+    rows = pairs.withColumns({"_stratum": F.col(by), "_md5": md5}).withColumn("_digits", F.substring("_md5", 1, 3))
+    counts = rows.groupBy("_stratum", "_digits").agg(F.count("*").alias("_rows"))
+    stratum = Window.partitionBy("_stratum")
+    before = F.sum("_rows").over(stratum.orderBy("_digits")) - F.col("_rows")
+    counts = counts.select(F.col("_stratum").alias("_s"), F.col("_digits").alias("_d"), before.alias("_before"), F.sum("_rows").over(stratum).alias("_n"))
+    within = F.row_number().over(Window.partitionBy("_stratum", "_digits").orderBy("_md5", *rest))
+    same = F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_digits") == F.col("_d"))
+    placed = rows.withColumn("_within", within).join(counts, same)
+    place, n = F.col("_before") + F.col("_within"), F.col("_n")
     n_test = F.ceil(n * F.lit(test) - 1e-9)
     n_val = F.ceil((n - n_test) * F.lit(val / (train + val)) - 1e-9)
     split = F.when(place <= n_test, "test").when(place <= n_test + n_val, "val").otherwise("train")
-    return pairs.withColumn("split", split)
+    return placed.select(*[rows[c] for c in pairs.columns], split.alias("split"))
 
 
 def model_pairs(pairs: DataFrame) -> DataFrame:
