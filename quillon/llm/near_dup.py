@@ -93,7 +93,8 @@ def confirmed(edges: DataFrame, contents: DataFrame, similar: Callable[[Column,
     A hub's content is copied once for each `spread` members rather than brought to every one of them, and a
     hub with many members is dealt over as many tasks.
     """
-    degree = edges.groupBy(F.col("hub.d1").alias("h1"), F.col("hub.d2").alias("h2")).agg(F.count("*").alias("degree"))
+    # Written, so that the join below has a plain exchange on either side, which adaptive execution splits if it is skewed.
+    degree = written(edges.groupBy(F.col("hub.d1").alias("h1"), F.col("hub.d2").alias("h2")).agg(F.count("*").alias("degree")), "hubs")
     salted = (
         edges.select("me", "hub", F.col("hub.d1").alias("h1"), F.col("hub.d2").alias("h2"))
         .join(degree, ["h1", "h2"])
@@ -114,7 +115,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    num: int = 85,
+    num: int = 80,
     den: int = 100,
     bins: int = 192,
     rows: int = 6,

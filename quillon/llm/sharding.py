@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm.scratch import written
 
 FIRST_DIGITS, MORE_DIGITS = 3, 2
-SLOT_ROWS = 8192
+SLOT_ROWS = 1024
 
 
 class Stretches:

@@ -138,7 +138,7 @@ def test_near_duplicates(docs, rows, empty):
             if i < j and both and 100 * both >= 85 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    got = near_dup.near_duplicates(docs).collect()
+    got = near_dup.near_duplicates(docs, num=85).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
