@@ -317,7 +317,8 @@ def fit(texts: list[str], toxic: list[int], span: int = 7, decay: float = 0.6, l
         table[0] = 0
         model = ToxicityModel(table, bias, 1.0, 0.0, span, decay)
         margin = model.margins(strings)
-        witness = Counter(int(i) for b in toxic_bags for i in b[margin[b] > max(0.0, 0.5 * margin[b].max())])
+        best = margin > 0
+        witness = Counter(int(i) for b in toxic_bags for i in b[best[b] & (value[b] > TELLING) & (margin[b] > 0.5 * margin[b].max())])
         hard = clean[margin[clean] > -0.5]
         negatives = np.union1d(negatives, hard[np.argsort(-margin[hard], kind="stable")][:3000])
     best = np.array([margin[b].max() if len(b) else -3.0 for b in bags])
