@@ -140,9 +140,12 @@ def plan_mix(slim: DataFrame, config: MixConfig) -> DataFrame:
             ).otherwise(acc),
         ),
     )
-    return took.select(
-        "mix_source", "source_size", "target", "epochs", F.col("lo").alias("below"), F.col("took.picks").alias("picks")
-    )
+    # The least document left out is taken too if the source then ends nearer to its target, though above it.
+    out = F.filter("edge", lambda x: ~F.array_contains("took.picks", F.struct(x["mix_key"].alias("mix_key"), x["mix_id"].alias("mix_id"))))
+    least = F.array_min(F.transform(out, lambda x: F.struct(x["words"].alias("words"), x["mix_key"].alias("mix_key"), x["mix_id"].alias("mix_id"))))
+    more = F.array(F.struct(least["mix_key"].alias("mix_key"), least["mix_id"].alias("mix_id")))
+    picks = F.when(least["words"] < 2 * F.col("took.left"), F.concat("took.picks", more)).otherwise(F.col("took.picks"))
+    return took.select("mix_source", "source_size", "target", "epochs", F.col("lo").alias("below"), picks.alias("picks"))
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -192,6 +192,12 @@ def test_mixing_meets_targets_over_many_rounds(spark):
     assert len(out) == 6 and all(abs(r.taken - r.target) <= 40 for r in out), out
 
 
+def test_mixing_of_few_documents_ends_near(spark):
+    docs = spark.createDataFrame([(1, "w " * 90, "a"), (2, "w " * 100, "b"), (3, "w " * 400, "c")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert {i: r.copies for i, r in got.items()} == {1: 3, 2: 2, 3: 0} and got[2].target == pytest.approx(320 * 2 / 3)
+
+
 def test_mixing_prefers_weight(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(1).alias("w"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25).alias("q"))
     rows = mixing.keyed(docs, F.col("w").cast("long"), F.col("q"), mixing.MixConfig())
