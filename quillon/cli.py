@@ -67,7 +67,7 @@ def run_train(spark, a) -> None:
 
 def asked(spark, a) -> DataFrame:
     rows = tables.require_columns(read_table(spark, a.queries), [c for c in (a.retrieval_col, a.scoring_col, a.id_col) if c], a.queries)
-    rows = rows if a.id_col else tables.with_row_no(rows, *rows.columns).withColumnRenamed("row_no", "row_id")
+    rows = rows if a.id_col else tables.in_file_order(rows).withColumnRenamed("row_no", "row_id")
     names = [F.col(a.id_col or "row_id").alias("query_id"), F.col(a.retrieval_col).alias("query")]
     return rows.select(*names, *([F.col(a.scoring_col).alias("scoring_query")] if a.scoring_col else []))
 
@@ -92,6 +92,8 @@ def run_align(spark, a) -> None:
 def run_evaluate(spark, a) -> None:
     gold, predictions = read_table(spark, a.gold), read_table(spark, a.predictions)
     gold = gold if "match" in gold.columns else gold.withColumn("match", F.lit(1))
+    if "row_id" in predictions.columns and "row_id" not in gold.columns:
+        gold = tables.in_file_order(gold).withColumnRenamed("row_no", "row_id")
     merged, plan = evaluate.join_predictions(gold, predictions, a.id_col)
     config = tables.read_config(spark, a.config) if a.config else {}
     old = read_table(spark, a.append) if a.append else None

@@ -123,3 +123,8 @@ def with_row_no(df: DataFrame, *order: str) -> DataFrame:
     first = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return ranged.withColumn("_within", within).join(first, "_part").withColumn("row_no", F.col("_first") + F.col("_within")).drop("_part", "_first", "_within")
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """The rows of a file just read, numbered from 0 in its order (row_no). A CSV file is read whole by one task, in order."""
+    return with_row_no(df.withColumn("_read", F.monotonically_increasing_id()), "_read").drop("_read")

@@ -35,7 +35,11 @@ def test_commands(spark, tmp_path):
     cli.main(["align", "--index", at("index"), "--queries", at("q.csv"), "--keep-top-n", "2", "--out", at("pred.csv")])
     got = {r.attribute_text: r for r in cli.read_table(spark, at("pred.csv")).collect()}
     assert got["frozen water"].retrieval_source == "hybrid" and got["frozen water"].top2_iri
+    assert got["SeaIce"].row_id == "0" and got["frozen water"].row_id == "1"
     (tmp_path / "gold.csv").write_text("row_id,gold_target_iris\n0,['http://x.org/o#SeaIce']\n1,http://x.org/o#SeaIce\n")
+    (tmp_path / "unnumbered.csv").write_text("gold_target_iris\nhttp://x.org/o#SeaIce\nhttp://x.org/o#Water\n")
+    cli.main(["evaluate", "--predictions", at("pred.csv"), "--gold", at("unnumbered.csv"), "--out", at("m2.csv")])
+    assert cli.read_table(spark, at("m2.csv")).first().join_method == "row_id"
     cli.main(["evaluate", "--predictions", at("pred.csv"), "--gold", at("gold.csv"), "--out", at("m.csv")])
     assert cli.read_table(spark, at("m.csv")).where("scope = 'overall'").first().n_pos == "2"
     cli.main(["search", "--index", at("index"), "--queries", at("q.csv"), "--gold", at("gold.csv"), "--trials", "1", "--out", at("s.csv")])
