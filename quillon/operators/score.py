@@ -39,7 +39,7 @@ def scoring_pairs(candidates: DataFrame, texts: DataFrame, cross_top_k: int = 20
         once = rows.groupBy("query_id", "iri").agg(F.min(F.struct("turn", "rank")).alias("t")).select("query_id", "iri", "t.turn", "t.rank")
     else:
         once = rows.groupBy("query_id", "iri").agg(F.min("rank").alias("rank")).withColumn("turn", F.lit(0))
-    cut = once.withColumn("cand_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "rank"))).where(F.col("cand_rank") <= k)
+    cut = once.withColumn("cand_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "rank")).cast("long")).where(F.col("cand_rank") <= k)
     return cut.select("query_id", "iri", "cand_rank").join(texts.select("iri", "text"), "iri").select("query_id", "iri", "cand_rank", "text")
 
 
@@ -54,7 +54,7 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, scorer: Callable[[Column,
 def rank_scored(scored: DataFrame) -> DataFrame:
     """With `place`: the rank by score; ties keep the candidates' order."""
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "cand_rank")
-    return scored.withColumn("place", F.row_number().over(by))
+    return scored.withColumn("place", F.row_number().over(by).cast("long"))
 
 
 def best_predictions(scored: DataFrame, keep_top_n: int = 0) -> DataFrame:
@@ -110,6 +110,6 @@ def align(
             F.coalesce("num_scored", F.lit(0)).cast("long").alias("num_scored"),
             F.coalesce("exact_iri", "predicted_iri").alias("predicted_iri"),
             F.when(F.col("exact_iri").isNotNull(), 1.0).otherwise(F.col("predicted_score")).alias("predicted_score"),
-            F.coalesce("top", F.expr("cast(array() as array<struct<place:int,iri:string,score:double>>)")).alias("top"),
+            F.coalesce("top", F.expr("cast(array() as array<struct<place:bigint,iri:string,score:double>>)")).alias("top"),
         )
     )

@@ -66,7 +66,7 @@ def prepare(queries: DataFrame, index: Index, query_vectors: DataFrame, scorer:
     lexical = lexical_candidates(rest, index, most).select(*COLUMNS).cache()
     asked = query_vectors.join(rest.select("query_id"), "query_id", "left_semi")
     semantic = semantic_candidates(asked, index.vectors, most, index.normalized).select(*COLUMNS).cache()
-    pairs = lexical.union(semantic).select("query_id", "iri").distinct().join(index.texts, "iri").withColumn("cand_rank", F.lit(0))
+    pairs = lexical.union(semantic).select("query_id", "iri").distinct().join(index.texts, "iri").withColumn("cand_rank", F.lit(0).cast("long"))
     return SearchState(queries, exact, lexical, semantic, score_pairs(pairs, queries, scorer).select("query_id", "iri", "score").cache(), index.texts)
 
 

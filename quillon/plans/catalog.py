@@ -118,10 +118,10 @@ def scoring_text_fallback(spark, d):
     return table(spark, d, "events").select("event_id", T.scoring_text(said, "props").alias("out"))
 
 
-@registered("SELECT event_id, CASE WHEN TRY_CAST(v AS DOUBLE) >= 0.5 THEN 1 WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 0 END AS out FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'yes' WHEN event_type = 'click' THEN NULL ELSE CAST(value / 50 AS VARCHAR) END AS v FROM events)")
+@registered("SELECT event_id, CASE WHEN TRY_CAST(v AS DOUBLE) >= 0.5 THEN 1 WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 0 ELSE -1 END AS out FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'yes' WHEN event_type = 'click' THEN NULL ELSE CAST(value / 50 AS VARCHAR) END AS v FROM events)")
 def as_flag(spark, d):
     v = F.when(F.col("event_type") == "view", "yes").when(F.col("event_type") == "click", None).otherwise((F.col("value") / 50).cast("string"))
-    return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", V.as_flag("v").alias("out"))
+    return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", F.coalesce(V.as_flag("v"), F.lit(-1)).alias("out"))
 
 
 @registered(
@@ -152,7 +152,7 @@ def l2_normalize(spark, d):
 
 
 @registered(
-    "SELECT total, ratio, CAST(total AS BIGINT) - CAST(round_even(total * least(1, greatest(0, ratio)), 0) AS BIGINT) AS k_lexical, CAST(round_even(total * least(1, greatest(0, ratio)), 0) AS BIGINT) AS k_semantic FROM (SELECT unnest([150, 75, 5, 10, 0]) AS total, unnest([0.3, 0.5, 0.5, 2.0, 0.5]) AS ratio)"
+    "SELECT total, ratio, CAST(total AS BIGINT) - CAST(round_even(total * least(1, greatest(0, ratio)), 0) AS BIGINT) AS k_lexical, CAST(round_even(total * least(1, greatest(0, ratio)), 0) AS BIGINT) AS k_semantic FROM (SELECT unnest([150, 75, 5, 10, 0]) AS total, unnest([CAST(0.3 AS DOUBLE), 0.5, 0.5, 2.0, 0.5]) AS ratio)"
 )
 def split_budget(spark, d):
     cases = [(150, 0.3), (75, 0.5), (5, 0.5), (10, 2.0), (0, 0.5)]
@@ -427,14 +427,14 @@ def random_negatives(spark, d):
     return D.random_negatives(regions, types, taken, 20)
 
 
-@registered("""SELECT source_iri, target_iri, source_label, target_label, source_text, target_text, 'positive' AS sample_type, 1.0 AS match
+@registered("""SELECT source_iri, target_iri, source_label, target_label, source_text, target_text, 'positive' AS sample_type, CAST(1.0 AS DOUBLE) AS match
     FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri)""")
 def training_positives(spark, d):
     positives = D.valid_alignment(alignment(spark, d), source_classes(spark, d), target_classes(spark, d))
     return D.with_texts(positives.select("source_iri", "target_iri", F.lit("positive").alias("sample_type"), F.lit(1).alias("match")), source_classes(spark, d), target_classes(spark, d))
 
 
-@registered("SELECT sample_type, match, CASE WHEN sample_type = 'positive' THEN n ELSE n // 2 END AS n FROM (SELECT unnest(['positive', 'random_negative']) AS sample_type, unnest([1.0, 0.0]) AS match, (SELECT count(*) FROM valid) AS n)")
+@registered("SELECT sample_type, match, CASE WHEN sample_type = 'positive' THEN n ELSE n // 2 END AS n FROM (SELECT unnest(['positive', 'random_negative']) AS sample_type, unnest([CAST(1.0 AS DOUBLE), 0.0]) AS match, (SELECT count(*) FROM valid) AS n)")
 def training_dataset(spark, d):
     """Counts of each kind of sample; without vectors the pool of hard negatives is empty."""
     none = F.array().cast("array<float>")
@@ -525,13 +525,13 @@ def metrics_by_source(spark, d):
     return _rounded_measures(E.metrics_by_source(judged(spark, d), k=5))
 
 
-@registered(f"""SELECT 'old' AS "EVAL_RUN_ID", NULL AS scope, NULL AS retrieval_source, NULL AS n_pos, NULL AS join_method
+@registered(f"""SELECT 'old' AS "EVAL_RUN_ID", NULL AS scope, NULL AS retrieval_source, CAST(-1 AS BIGINT) AS n_pos, NULL AS join_method
     UNION ALL SELECT 'new', scope, retrieval_source, n_pos, 'id' FROM ({_BY_SOURCE})""")
 def metrics_append(spark, d):
     merged, plan = E.join_predictions(gold(spark, d), aligned(spark, d), id_col="query_id")
     old = spark.createDataFrame([("old",)], "EVAL_RUN_ID string")
     rows = E.metrics_rows(merged, E.basic_stats(merged), plan, 5, {"MODEL_TYPE": "overlap"}, "new", old)
-    return rows.select("EVAL_RUN_ID", "scope", "retrieval_source", "n_pos", "join_method")
+    return rows.select("EVAL_RUN_ID", "scope", "retrieval_source", F.coalesce("n_pos", F.lit(-1)).cast("long").alias("n_pos"), "join_method")
 
 
 _CURVE = """steps AS (SELECT round(score, 4) AS s, sum(quality) AS pos, count(*) AS n FROM lab GROUP BY round(score, 4)),

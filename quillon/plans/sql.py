@@ -39,7 +39,7 @@ CTES: dict[str, tuple[str, ...] | str] = {
         SELECT DISTINCT query_id, iri FROM (
             SELECT query_id, {norm("query")} AS form FROM asked
             UNION SELECT query_id, {norm("regexp_replace(query, '([a-z])([A-Z])', '\\1 \\2', 'g')")} FROM asked) JOIN forms USING (form)""",
-    "exact": "SELECT query_id, iri, 1.0 AS score, 'exact' AS source, row_number() OVER (PARTITION BY query_id ORDER BY iri) AS rank FROM exact_hits",
+    "exact": "SELECT query_id, iri, CAST(1.0 AS DOUBLE) AS score, 'exact' AS source, row_number() OVER (PARTITION BY query_id ORDER BY iri) AS rank FROM exact_hits",
     "rest": "SELECT * FROM asked WHERE query_id NOT IN (SELECT query_id FROM exact_hits)",
     "asked_tokens": f"""
         SELECT query_id, token, count(*) AS times
@@ -92,7 +92,7 @@ CTES: dict[str, tuple[str, ...] | str] = {
     "aligned": """
         SELECT a.query_id, a.query AS attribute_text, coalesce(f.retrieval_source, 'none') AS retrieval_source, coalesce(f.num_retrieved, 0) AS num_retrieved,
                coalesce(b.num_scored, 0) AS num_scored, coalesce(f.exact_iri, b.predicted_iri) AS predicted_iri,
-               CASE WHEN f.exact_iri IS NOT NULL THEN 1.0 ELSE b.predicted_score END AS predicted_score
+               CASE WHEN f.exact_iri IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE b.predicted_score END AS predicted_score
         FROM asked a LEFT JOIN found_counts f USING (query_id) LEFT JOIN best b USING (query_id)""",
     # gold: the classes of the query's own part and of the part with the same name and least key
     "gold": """
