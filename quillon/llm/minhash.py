@@ -39,17 +39,20 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
 
 def densified(sig: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Signatures with their empty bins (not `full`) filled."""
-    order = probe_order(sig.shape[1])
-    rows, bins = np.nonzero(~full & full.any(axis=1)[:, None])
-    out = sig.copy()
-    for ask in order:
-        if not len(rows):
+    n, bins = sig.shape
+    known, values, out = full.reshape(-1), sig.reshape(-1), sig.reshape(-1).copy()
+    cell = np.flatnonzero(~(full | ~full.any(axis=1)[:, None]).reshape(-1))
+    column = cell % bins
+    first = cell - column
+    for ask in probe_order(bins):
+        if not len(cell):
             break
-        asked = ask[bins]
-        hit = full[rows, asked]
-        out[rows[hit], bins[hit]] = sig[rows[hit], asked[hit]]
-        rows, bins = rows[~hit], bins[~hit]
-    return out
+        at = first + ask[column]
+        hit = known[at]
+        out[cell[hit]] = values[at[hit]]
+        left = ~hit
+        cell, column, first = cell[left], column[left], first[left]
+    return out.reshape(n, bins)
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:

@@ -193,6 +193,16 @@ class TextScorer:
         return out
 
 
+_scorers: list[TextScorer] = []
+
+
+def worker_scorer(model: ToxicityModel) -> TextScorer:
+    """The worker's scorer of a model, kept from task to task with the margins that it has met."""
+    if not _scorers or _scorers[0].model is not model:
+        _scorers[:] = [TextScorer(model)]
+    return _scorers[0]
+
+
 def _distinct_strings(texts: Iterable[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(distinct strings, the indices of each text's own)."""
     table: dict[bytes, int] = {}
@@ -343,13 +353,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold: int, folds: int, p
 def toxicity_udf(spark, model: ToxicityModel):
     """A column function: the score of a text; null and empty texts have the score of a text without letters."""
     held = spark.sparkContext.broadcast(model)
-    own: dict = {}
 
     @F.arrow_udf("double")
     def toxicity(text: pa.Array) -> pa.Array:
-        if "scorer" not in own:
-            own["scorer"] = TextScorer(held.value)
-        return pa.array(own["scorer"].scores(text))
+        return pa.array(worker_scorer(held.value).scores(text))
 
     return toxicity
 
