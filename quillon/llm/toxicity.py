@@ -31,6 +31,7 @@ ORDER, WIDTH, MARKS = 4, 16, 28
 LETTERS = WIDTH - 2
 TELLING = 20.0  # G statistic of a first positive: chance gives it to about one run of symbols in 100,000
 RARER = 5  # a positive string occurs in clean texts at most once for so many toxic texts
+FLOOR = -1.0  # strings as far as this from the toxic side are told apart no more
 
 
 def _letter_codes() -> np.ndarray:
@@ -136,12 +137,20 @@ class ToxicityModel:
     decay: float
 
     def margins(self, strings: np.ndarray) -> np.ndarray:
-        sub, out = Subsequences(self.span, self.decay), np.empty(len(strings))
+        """The margin of each string, FLOOR at least.
+
+        A string's length in the feature space is at least that of its subsequences taken as all different, so most
+        strings are seen to be at the floor before equal subsequences are brought together.
+        """
+        sub, out = Subsequences(self.span, self.decay), np.full(len(strings), FLOOR)
+        squares = sub.weights**2
         for at in range(0, len(strings), 1024):
-            part = strings[at : at + 1024]
-            codes = sub.codes(part)
+            codes = sub.codes(strings[at : at + 1024])
             raw = (self.weights[codes] * sub.weights).sum(axis=1)
-            out[at : at + 1024] = raw / np.maximum(self._norms(codes, sub.weights), 1e-9) + self.bias
+            least = np.sqrt((codes > 0) @ squares)
+            near = np.flatnonzero(np.maximum(raw, 0) / np.maximum(least, 1e-9) + self.bias > FLOOR)
+            norm = np.maximum(self._norms(codes[near], sub.weights), 1e-9)
+            out[at + near] = np.maximum(FLOOR, raw[near] / norm + self.bias)
         return out
 
     @staticmethod
@@ -158,7 +167,7 @@ class ToxicityModel:
         return np.sqrt((group**2).sum(axis=1))
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * np.clip(margin, -3, 3) + self.shift)))
+        return 1 / (1 + np.exp(-(self.slope * np.minimum(margin, 3) + self.shift)))
 
 
 class TextScorer:
@@ -168,7 +177,7 @@ class TextScorer:
         self.model, self.most, self.met = model, most, {}
 
     def best_margins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Of each text its greatest margin, -3 without letters."""
+        """Of each text its greatest margin, FLOOR without letters."""
         starts, ends, bounds = unit_spans(buf, offs)
         keys = vec.span_hashes(vec.lower(buf), starts, ends)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
@@ -178,11 +187,11 @@ class TextScorer:
         new = [i for i, k in enumerate(listed) if k not in self.met]
         if new:
             strings, unit = strings_of(buf, starts[first[new]], ends[first[new]])
-            best = np.full(len(new), -3.0)
+            best = np.full(len(new), FLOOR)
             np.maximum.at(best, unit, self.model.margins(strings))
             self.met.update(zip([listed[i] for i in new], best.tolist(), strict=True))
         value = np.fromiter(map(self.met.__getitem__, listed), np.float64, len(listed))[inverse]
-        out = np.full(len(offs) - 1, -3.0)
+        out = np.full(len(offs) - 1, FLOOR)
         np.maximum.at(out, np.repeat(np.arange(len(out)), np.diff(bounds)), value)
         return out
 
@@ -257,7 +266,7 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    x = np.stack([np.clip(m, -3, 3), np.ones(len(m))], axis=1)
+    x = np.stack([np.minimum(m, 3), np.ones(len(m))], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ w))
@@ -331,7 +340,7 @@ def fit(texts: list[str], toxic: list[int], span: int = 7, decay: float = 0.6, l
         witness = Counter(int(i) for b in toxic_bags for i in b[best[b] & (value[b] > TELLING) & (margin[b] > 0.5 * margin[b].max())])
         hard = clean[margin[clean] > -0.5]
         negatives = np.union1d(negatives, hard[np.argsort(-margin[hard], kind="stable")][:3000])
-    best = np.array([margin[b].max() if len(b) else -3.0 for b in bags])
+    best = np.array([margin[b].max() if len(b) else FLOOR for b in bags])
     model.slope, model.shift = _logistic(best, y.astype(float))
     return model
 
