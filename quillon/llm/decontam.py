@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillon.llm import vec
 
 Q = 12
-_BITS = 22
+HITS_AT_ONCE = 2_000_000
 SPAN = "array<struct<item_id:long,first:long,last:long,edits:int>>"
 
 
@@ -64,6 +64,16 @@ def _alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[at]), at
 
 
+def _counted(doc: np.ndarray, item: np.ndarray, band: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct (doc, item, band), in order, with the sums of their hits."""
+    order = np.lexsort((band, item, doc))
+    doc, item, band = doc[order], item[order], band[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], item[first], band[first], np.add.reduceat(hits[order], first) if len(first) else hits
+
+
 @dataclass
 class ItemIndex:
     """The q-grams of a block of items."""
@@ -99,10 +109,22 @@ class ItemIndex:
         return cls(np.array(ids, np.int64), texts, np.array(edits, np.int64), np.array(needed, np.int64), key[order], it[order], pl[order], short)
 
     def seen(self) -> np.ndarray:
-        table = np.zeros(1 << _BITS, bool)
-        table[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        """Which leading bits of a key any key has: 64 places for each key, 64 MB at most."""
+        bits = min(26, len(self.keys).bit_length() + 6)
+        table = np.zeros(1 << bits, bool)
+        table[(self.keys >> np.uint64(64 - bits)).astype(np.int64)] = True
         return table
 
+    def _bands(self, p: np.ndarray, lo: np.ndarray, n: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """(text, item, band, hits) of the places p with n entries from lo each: every hit counts in two bands."""
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        p = np.repeat(p, n)
+        item, doc = self.item[at], np.searchsorted(offs, p, "right") - 1
+        band = (p - self.place[at] + size) // (self.edits[item] + 1)
+        inside = p + Q <= offs[doc + 1]
+        doc, item, band = (np.concatenate([x[inside], x[inside] - less]) for x, less in ((doc, 0), (item, 0), (band, 1)))
+        return _counted(doc, item, band, np.ones(len(doc), np.int64))
+
     def search(self, b: np.ndarray, offs: np.ndarray, seen: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, first, end, edits) of the occurrences in texts b[offs[i]:offs[i + 1]]."""
         found = []
@@ -115,34 +137,20 @@ class ItemIndex:
                 if end <= offs[doc + 1] and whole:
                     found.append((doc, int(self.ids[i]), at, end, 0))
         keys = gram_keys(b)
-        p = np.flatnonzero(seen[(keys >> np.uint64(64 - _BITS)).astype(np.int64)])
+        p = np.flatnonzero(seen[(keys >> np.uint64(65 - len(seen).bit_length())).astype(np.int64)])
         lo = np.searchsorted(self.keys, keys[p], "left")
         n = np.searchsorted(self.keys, keys[p], "right") - lo
         p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
         if not len(p):
             return found
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        p = np.repeat(p, n)
-        item, place = self.item[at], self.place[at]
-        doc = np.searchsorted(offs, p, "right") - 1
-        inside = p + Q <= offs[doc + 1]
-        p, item, place, doc = p[inside], item[inside], place[inside], doc[inside]
-        diagonal = p - place + len(b)
-        half = self.edits[item] + 1
-        band = diagonal // half
-        both = lambda x: np.concatenate([x, x])
-        doc2, item2, band2, diag2 = both(doc), both(item), np.concatenate([band, band - 1]), both(diagonal)
-        order = np.lexsort((band2, item2, doc2))
-        doc2, item2, band2, diag2 = doc2[order], item2[order], band2[order], diag2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (doc2[1:] != doc2[:-1]) | (item2[1:] != item2[:-1]) | (band2[1:] != band2[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(order)))
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE, prepend=-1))
+        parts = [self._bands(p[i:j], lo[i:j], n[i:j], offs, len(b)) for i, j in zip(cuts, [*cuts[1:], len(p)], strict=True)]
+        doc, item, band, hits = parts[0] if len(parts) == 1 else _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         taken: dict[tuple[int, int], int] = {}
-        for f in first[count >= self.needed[item2[first]]].tolist():
-            d, i, k = int(doc2[f]), int(item2[f]), int(self.edits[item2[f]])
+        for f in np.flatnonzero(hits >= self.needed[item]).tolist():
+            d, i, k = int(doc[f]), int(item[f]), int(self.edits[item[f]])
             width = k + 1
-            low = int(band2[f]) * width - len(b)
+            low = int(band[f]) * width - len(b)
             if taken.get((d, i), -1 << 60) > low:
                 continue  # the overlapping band before it gave this occurrence
             a = max(int(offs[d]), low - k)
@@ -185,7 +193,7 @@ def _search_udf(spark, index: ItemIndex):
 
 
 def regions_of(
-    text: Column, items: DataFrame, rate: float = 0.06, item_id: str = "item_id", item_text: str = "text", block_chars: int = 1 << 24
+    text: Column, items: DataFrame, rate: float = 0.06, item_id: str = "item_id", item_text: str = "text", block_chars: int = 1 << 22
 ) -> Column:
     """The occurrences of benchmark items in a text column, by item and place.
 

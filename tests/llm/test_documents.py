@@ -427,6 +427,13 @@ def test_decontamination(spark, docs, empty):
     assert got[107].n_regions == 3 and got[102].regions[0].last == len(items[2][1].encode()) and got[105].kept
     blocks = decontam.regions_of(F.col("text"), bench, block_chars=200)
     assert {r.doc_id for r in df.where(F.size(blocks) > 0).collect()} == {100, 101, 102, 104, 107}
+    index = decontam.ItemIndex.build(items, 0.06)
+    raw = np.frombuffer("\n".join(t or "" for _, t in rows).encode(), np.uint8)
+    b, at, _ = decontam.normal_form(raw, np.array([0, len(raw)]))
+    whole = index.search(b, at, index.seen())
+    decontam.HITS_AT_ONCE, kept = 50, decontam.HITS_AT_ONCE
+    assert index.search(b, at, index.seen()) == whole and len(whole) == 7
+    decontam.HITS_AT_ONCE = kept
     assert decontam.contamination(df, bench.where("false")).where("contaminated").count() == 0
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench).count() == docs.count()
 
