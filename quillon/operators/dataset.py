@@ -41,10 +41,13 @@ def hard_negative_pool(sources: DataFrame, targets: DataFrame, alignment: DataFr
     """(source_iri, target_iri, score): near pairs that aren't aligned and aren't likely to mean the same.
 
     sources (source_iri, source_label, source_synonyms, embedding) and targets likewise; each source's top_n targets by
-    inner product with a score from low to high, both included. Sources are taken in parts as the small side.
+    inner product with a score from low to high, both included; classes without a vector have none. Sources are taken in parts as the small side.
     """
+    has_vector = F.size("embedding") > 0  # not so for null
     near = semantic_candidates(
-        sources.select(F.col("source_iri").alias("query_id"), "embedding"), targets.select(F.col("target_iri").alias("iri"), "embedding"), top_n
+        sources.where(has_vector).select(F.col("source_iri").alias("query_id"), "embedding"),
+        targets.where(has_vector).select(F.col("target_iri").alias("iri"), "embedding"),
+        top_n,
     )
     near = near.where(F.round("score", 9).between(low, high)).select(F.col("query_id").alias("source_iri"), F.col("iri").alias("target_iri"), "score")
     near = near.join(alignment.select("source_iri", "target_iri").distinct(), ["source_iri", "target_iri"], "left_anti")
