@@ -57,24 +57,55 @@ def _full_sets(shingle: int):
     return run
 
 
-def _star_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Each bucket's members linked to two hubs of the bucket, its least document and its smallest set."""
-    rows = classes.select(
-        F.explode("bands").alias("key"), F.struct("rep", "d1", "d2", "n").alias("me"), F.struct("n", "rep", "d1", "d2").alias("by_n")
-    )
-    hubs = (
-        rows.groupBy("key")
-        .agg(F.min("me").alias("hub"), F.min("by_n").alias("small"), F.count("*").alias("members"))
-        .where("members > 1")
-    )
-    linked = rows.join(hubs, "key").select(
-        "me", F.explode(F.array("hub", F.expr("named_struct('rep', small.rep, 'd1', small.d1, 'd2', small.d2, 'n', small.n)"))).alias("hub")
-    )
-    return (
-        linked.where((F.col("me.d1") != F.col("hub.d1")) | (F.col("me.d2") != F.col("hub.d2")))
-        .where(F.lit(den) * F.least("me.n", "hub.n") >= F.lit(num) * F.greatest("me.n", "hub.n"))
-        .distinct()
-    )
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """(key, rep, d1, d2, n) of each class in each of its buckets that holds another class."""
+    rows = classes.select(F.explode("bands").alias("key"), "rep", "d1", "d2", "n")
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    return rows.join(shared, "key")
+
+
+def _stars(shared: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, rest): each bucket's members linked to two hubs of the bucket, its least document and its smallest set, and
+    the members that are no hub of their bucket."""
+    rows = shared.select("key", F.struct("rep", "d1", "d2", "n").alias("me"), F.struct("n", "rep", "d1", "d2").alias("by_n"))
+    hubs = rows.groupBy("key").agg(F.min("me").alias("hub"), F.min("by_n").alias("small"))
+    hubs = hubs.select("key", "hub", F.expr("named_struct('rep', small.rep, 'd1', small.d1, 'd2', small.d2, 'n', small.n)").alias("small"))
+    both = rows.join(hubs, "key")
+    linked = both.select("me", F.explode(F.array("hub", "small")).alias("hub"))
+    edges = linked.where((F.col("me.d1") != F.col("hub.d1")) | (F.col("me.d2") != F.col("hub.d2"))).where(_sizes_allow(num, den)).distinct()
+    return edges, both.where("me <> hub and me <> small").select("key", "me.*")
+
+
+def _sizes_allow(num: int, den: int) -> Column:
+    """Whether the sizes of the sets of me and hub leave room for a link."""
+    return F.lit(den) * F.least("me.n", "hub.n") >= F.lit(num) * F.greatest("me.n", "hub.n")
+
+
+def bucket_components(
+    links: DataFrame, rest: DataFrame, confirm: Callable[[DataFrame], DataFrame], possible: Column | None = None, first: int = 8
+) -> DataFrame:
+    """(node, component) of all links between members of a bucket, given those (a, b) of one or two hubs of each.
+
+    `rest` (key, rep, d1, d2, n) are the members of buckets that were no hub yet. Buckets whose rest is in several
+    components get further hubs, by hash, which are compared with each member in another component than theirs and then
+    leave the bucket: `first` hubs or so in the first round, and eight times as many in each further one, until each
+    bucket's rest is one component. A pair of a bucket is so left out only if it is in one component already.
+    """
+    labels, hubs = components(links), first
+    while True:
+        known = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        apart = known.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        rest = known.join(apart.where("c0 < c1").select("key", "members"), "key")
+        rest = written(rest.withColumn("is_hub", F.pmod(F.xxhash64("rep"), F.col("members")) < hubs).drop("members"), "apart")
+        if rest.isEmpty():
+            return labels
+        me = rest.select("key", F.struct("rep", "d1", "d2", "n").alias("me"), F.col("component").alias("mine"), F.col("is_hub").alias("both"))
+        hub = rest.where("is_hub").select("key", F.struct("rep", "d1", "d2", "n").alias("hub"), F.col("component").alias("theirs"))
+        pairs = me.join(hub, "key").where("mine <> theirs and (not both or me.rep < hub.rep)").select("me", "hub")
+        edges = written((pairs if possible is None else pairs.where(possible)).distinct(), "further-edges")
+        if not edges.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirm(edges)))
+        rest, hubs = rest.where("not is_hub").drop("component", "is_hub"), 8 * hubs
 
 
 def similar_sets(num: int, den: int):
@@ -125,7 +156,8 @@ def near_duplicates(
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of `shingle`-word shingles,
     lower-cased in A-Z. Documents with equal sets form one class from the start; the classes' MinHash
     signatures of `bins` bins give bins / rows buckets each, buckets give star-shaped candidate edges (a
-    member and its hub, never all pairs), and each edge is confirmed on the full sets. component_id is the
+    member and its hub), and each edge is confirmed on the full sets. Buckets that this leaves in several components
+    get further hubs, until each pair of a bucket is in one component or was compared. component_id is the
     least id reachable over confirmed links, kept says that it is the row's own id.
 
     Null texts, empty texts and texts of separators alone have no shingles and are linked with nothing; a text
@@ -141,13 +173,14 @@ def near_duplicates(
         .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
-    edges = written(_star_edges(classes, num, den), "edges")
-    involved = edges.select(F.explode(F.array("me.rep", "hub.rep")).alias("id")).distinct()
-    sets = written(
-        name.join(involved, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), _SETS).dropDuplicates(["d1", "d2"]),
-        "sets",
-    )
-    labels = components(confirmed(edges, sets, similar_sets(num, den)))
+    edges, rest = _stars(written(_shared_buckets(classes), "buckets"), num, den)
+
+    def confirm(edges: DataFrame) -> DataFrame:
+        involved = edges.select(F.explode(F.array("me.rep", "hub.rep")).alias("id")).distinct()
+        sets = name.join(involved, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), _SETS).dropDuplicates(["d1", "d2"])
+        return confirmed(edges, written(sets, "sets"), similar_sets(num, den))
+
+    labels = bucket_components(confirm(written(edges, "edges")), rest, confirm, _sizes_allow(num, den))
     member = classes.select("d1", "d2", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("d1", "d2", F.coalesce("component", "rep").alias("component"))

@@ -148,6 +148,45 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def edited_copies(seed, n, size, most):
+    """n copies of one text of `size` words, each with edits of its own, of a share of its shingles up to `most`."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(size // 5), int(rng.random() * most * size / 5)):
+            w[5 * at + 2] = f"c{i}x{at}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def linked_copies(texts, shingle, num):
+    """The least id of each text's component over exact links."""
+    sets = []
+    for _, t in texts:
+        w = t.split(" ")
+        sets.append({tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)})
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if top[i] != top[j] and 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top[i], top[j]))
+                top = [a if x == b else x for x in top]
+    return top
+
+
+def test_large_groups_of_edited_copies(spark):
+    """Copies far from the least ids of their buckets, but near to others."""
+    texts = edited_copies(3, 200, 400, 0.12)
+    # The first ids are those with the most edits, so that they are bad hubs.
+    texts = [(i, t) for i, (_, t) in enumerate(sorted(texts, key=lambda x: (-x[1].count("c"), len(x[1]))))]
+    want = linked_copies(texts, 5, 85)
+    got = near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), num=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
 # ---- mixing ----
 
 
