@@ -73,3 +73,14 @@ def set_digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values, salt), dtype=U64)])
         out.append(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64), salt))
     return out[0], out[1]
+
+
+def parities(values: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
+    """`words` * 64 bits of each set, in a row: each element turns one bit over, by its hash. The bits in which two sets
+    differ are at most as many as the elements that only one of them has."""
+    n, bits = len(bounds) - 1, 64 * words
+    at = ((mix(values, 14) >> U64(32)) * U64(bits)) >> U64(32)
+    cell = np.repeat(np.arange(n) * bits, np.diff(bounds)) + at.astype(np.int64)
+    out = np.zeros(n * words, U64)
+    np.bitwise_xor.at(out, cell >> 6, U64(1) << (cell & 63).astype(U64))
+    return out

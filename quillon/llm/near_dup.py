@@ -13,7 +13,8 @@ from quillon.llm import minhash, vec
 from quillon.llm.components import components
 from quillon.llm.scratch import written
 
-_SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
+_SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
+_SKETCH = 12
 _SETS = "d1 long, d2 long, content array<long>"
 
 
@@ -37,8 +38,9 @@ def _signed(shingle: int, bins: int, rows: int):
                         pa.array(d1.view(np.int64)),
                         pa.array(d2.view(np.int64)),
                         _lists(keys.reshape(-1), np.arange(end - row + 1) * keys.shape[1], n > 0),
+                        _lists(minhash.parities(values, bounds, _SKETCH), np.arange(end - row + 1) * _SKETCH),
                     ],
-                    ["id", "n_shingles", "d1", "d2", "bands"],
+                    ["id", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     return run
@@ -81,28 +83,44 @@ def _sizes_allow(num: int, den: int) -> Column:
     return F.lit(den) * F.least("me.n", "hub.n") >= F.lit(num) * F.greatest("me.n", "hub.n")
 
 
+def _sketches_allow(num: int, den: int) -> Column:
+    """Whether the parities of the sets of me and hub leave room for a link: each bit that differs stands for an element of one set only."""
+    apart = sum(F.bit_count(F.col("me.sketch")[i].bitwiseXOR(F.col("hub.sketch")[i])) for i in range(_SKETCH))
+    return F.lit(den + num) * apart <= F.lit(den - num) * (F.col("me.n") + F.col("hub.n"))
+
+
 def bucket_components(
-    links: DataFrame, rest: DataFrame, confirm: Callable[[DataFrame], DataFrame], possible: Column | None = None, first: int = 8
+    links: DataFrame,
+    rest: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    sketches: DataFrame | None = None,
+    possible: Column | None = None,
+    first: int = 8,
 ) -> DataFrame:
     """(node, component) of all links between members of a bucket, given those (a, b) of one or two hubs of each.
 
     `rest` (key, rep, d1, d2, n) are the members of buckets that were no hub yet. Buckets whose rest is in several
     components get further hubs, by hash, which are compared with each member in another component than theirs and then
     leave the bucket: `first` hubs or so in the first round, and eight times as many in each further one, until each
-    bucket's rest is one component. A pair of a bucket is so left out only if it is in one component already.
+    bucket's rest is one component. A pair of a bucket is so left out only if it is in one component already, or if
+    `possible` (of me and hub, with the `sketches` of their d1, d2) says that it can't be similar.
     """
     labels, hubs = components(links), first
     while True:
         known = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         apart = known.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         rest = known.join(apart.where("c0 < c1").select("key", "members"), "key")
+        if sketches is not None and "sketch" not in rest.columns:
+            rest = rest.join(sketches, ["d1", "d2"])
         rest = written(rest.withColumn("is_hub", F.pmod(F.xxhash64("rep"), F.col("members")) < hubs).drop("members"), "apart")
         if rest.isEmpty():
             return labels
-        me = rest.select("key", F.struct("rep", "d1", "d2", "n").alias("me"), F.col("component").alias("mine"), F.col("is_hub").alias("both"))
-        hub = rest.where("is_hub").select("key", F.struct("rep", "d1", "d2", "n").alias("hub"), F.col("component").alias("theirs"))
-        pairs = me.join(hub, "key").where("mine <> theirs and (not both or me.rep < hub.rep)").select("me", "hub")
-        edges = written((pairs if possible is None else pairs.where(possible)).distinct(), "further-edges")
+        point = [c for c in rest.columns if c not in ("key", "component", "is_hub")]
+        me = rest.select("key", F.struct(*point).alias("me"), F.col("component").alias("mine"), F.col("is_hub").alias("both"))
+        hub = rest.where("is_hub").select("key", F.struct(*point).alias("hub"), F.col("component").alias("theirs"))
+        pairs = me.join(hub, "key").where("mine <> theirs and (not both or me.rep < hub.rep)")
+        pairs = pairs if possible is None else pairs.where(possible)
+        edges = written(pairs.select(*[F.struct(*[f"{c}.{x}" for x in ("rep", "d1", "d2", "n")]).alias(c) for c in ("me", "hub")]).distinct(), "further-edges")
         if not edges.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirm(edges)))
         rest, hubs = rest.where("not is_hub").drop("component", "is_hub"), 8 * hubs
@@ -170,7 +188,7 @@ def near_duplicates(
     classes = written(
         signed.where("n_shingles > 0 and id is not null")
         .groupBy("d1", "d2")
-        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     edges, rest = _stars(written(_shared_buckets(classes), "buckets"), num, den)
@@ -180,7 +198,8 @@ def near_duplicates(
         sets = name.join(involved, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), _SETS).dropDuplicates(["d1", "d2"])
         return confirmed(edges, written(sets, "sets"), similar_sets(num, den))
 
-    labels = bucket_components(confirm(written(edges, "edges")), rest, confirm, _sizes_allow(num, den))
+    possible = _sizes_allow(num, den) & _sketches_allow(num, den)
+    labels = bucket_components(confirm(written(edges, "edges")), rest, confirm, classes.select("d1", "d2", "sketch"), possible)
     member = classes.select("d1", "d2", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("d1", "d2", F.coalesce("component", "rep").alias("component"))

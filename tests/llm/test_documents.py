@@ -537,6 +537,15 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.without_removed(docs, line_dedup.removed_by_document(docs, every)).columns == docs.columns
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    b = np.unique(np.r_[a[:250], rng.integers(0, 1 << 63, 40).astype(np.uint64)])
+    bits = minhash.parities(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 12).reshape(2, 12)
+    apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+    assert 60 < apart <= len(np.setxor1d(a, b))
+
+
 # ---- shards ----
 
 
