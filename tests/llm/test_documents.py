@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import without_near_duplicates
 from quillon.llm import decontam, language_model, line_dedup, minhash, mixing, near_dup, pfor, quality, secrets, sharding, token_ids, toxicity, vec
 from quillon.llm.components import components
 
@@ -187,6 +188,14 @@ def test_large_groups_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
 
 
+def test_pipeline_threshold_on_edited_copies(spark):
+    """The pipeline's stage keeps one document of each component of exact links at 0.80."""
+    texts = sorted(edited_copies(9, 200, 400, 0.14), key=lambda x: (-x[1].count("c"), len(x[1])))
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
+    kept = without_near_duplicates(spark, spark.createDataFrame(texts, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in kept} == set(linked_copies(texts, 5, 80))
+
+
 # ---- mixing ----
 
 
