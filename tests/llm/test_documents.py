@@ -546,6 +546,28 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.without_removed(docs, line_dedup.removed_by_document(docs, every)).columns == docs.columns
 
 
+def test_large_families_of_templated_lines(spark):
+    """Lines far from the least hashes of their buckets, but near to others."""
+    rng = random.Random(4)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(190)]
+    lines = []
+    for i in range(300):
+        x = list(base)
+        for at in rng.sample(range(19), rng.randint(0, 4)):
+            x[10 * at + 5] = chr(0x400 + (7 * i + at) % 700)
+        lines.append("q" + "".join(x) + "q")
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    top = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if top[i] != top[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((top[i], top[j]))
+                top = [a if x == b else x for x in top]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc for r in line_dedup.deduplicated_lines(df).collect()}
+    assert got == dict(enumerate(top))
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
