@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and on the hard cases that all of them share."""
 
+import inspect
 import random
 import re
 import zlib
@@ -568,6 +569,12 @@ def test_large_families_of_templated_lines(spark):
     assert got == dict(enumerate(top))
 
 
+def test_line_banding_finds_links_at_the_threshold():
+    made = inspect.signature(line_dedup.deduplicated_lines).parameters
+    bins, rows, at = made["bins"].default, made["rows"].default, made["num"].default / made["den"].default
+    assert (1 - at**rows) ** (bins // rows) <= 6e-5
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
