@@ -1,7 +1,7 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
-DataFrame operations only (the forest is Spark's own). A candidate is a run of 16 to 512 characters of keys and codes
-with a digit or a capital in it. Its features are its length, kinds of characters and entropy, the transitions between
+DataFrame operations only (the forest is Spark's own). A candidate is a whole run of 16 or more characters of keys and
+codes with a digit or a capital in it. Its features are its length, kinds of characters and entropy, the transitions between
 kinds of characters, the share that dictionary words cover, and its path and neighbouring words. The forest is trained
 on labelled findings: any table of (before, candidate, after, path, secret); `made_findings` makes one.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 CHARS = r"A-Za-z0-9+/_\-"
 CANDIDATE = (
     rf"((?:[\p{{L}}_.]{{1,40}}[ \t]{{0,3}}[=:]?[ \t]{{0,3}}[\"']?)?)(?<![{CHARS}])"
-    rf"(?=[a-z+/_\-]{{0,511}}[A-Z0-9])([{CHARS}]{{16,512}}={{0,2}})(?=([^\n]{{0,24}}))"
+    rf"(?=[a-z+/_\-]*+[A-Z0-9])([{CHARS}]{{16,}}+={{0,2}})(?=([^\n]{{0,24}}))"
 )
 WORDS = (
     "the and for that this with from have not are was can has will one all about data test example sample dummy user name file path image "

@@ -412,6 +412,13 @@ def test_secrets(spark, docs, empty):
     assert every.count() == docs.count() and secrets.scan_secrets(empty, model).count() == 0
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(1600))
+    df = spark.createDataFrame([(1, f'private_key = "{key}" end', "s"), (2, "a" * 600 + "Z9", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.candidate for r in secrets.candidates(df).collect()} == {1: key, 2: "a" * 600 + "Z9"}
+
+
 # ---- toxicity ----
 
 
