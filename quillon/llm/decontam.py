@@ -78,7 +78,7 @@ def _counted(doc: np.ndarray, item: np.ndarray, band: np.ndarray, hits: np.ndarr
 class ItemIndex:
     """The q-grams of a block of items."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     texts: list[bytes]
     edits: np.ndarray
     needed: np.ndarray
@@ -93,7 +93,7 @@ class ItemIndex:
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             form = normal_form(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" ")
-            if item_id is None or not form:
+            if not form:
                 continue
             m, i = len(form), len(ids)
             k = min(int(rate * m), max(0, (m - Q) // Q))
@@ -106,7 +106,7 @@ class ItemIndex:
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         key, it, pl = cat(keys, np.uint64), cat(item, np.int64), cat(place, np.int64)
         order = np.argsort(key, kind="stable")
-        return cls(np.array(ids, np.int64), texts, np.array(edits, np.int64), np.array(needed, np.int64), key[order], it[order], pl[order], short)
+        return cls(ids, texts, np.array(edits, np.int64), np.array(needed, np.int64), key[order], it[order], pl[order], short)
 
     def seen(self) -> np.ndarray:
         """Which leading bits of a key any key has: 64 places for each key, 64 MB at most."""
@@ -135,7 +135,7 @@ class ItemIndex:
                 end = at + len(self.texts[i])
                 whole = (at == offs[doc] or raw[at - 1] == 32) and (end == offs[doc + 1] or raw[end : end + 1] == b" ")
                 if end <= offs[doc + 1] and whole:
-                    found.append((doc, int(self.ids[i]), at, end, 0))
+                    found.append((doc, self.ids[i], at, end, 0))
         keys = gram_keys(b)
         p = np.flatnonzero(seen[(keys >> np.uint64(65 - len(seen).bit_length())).astype(np.int64)])
         lo = np.searchsorted(self.keys, keys[p], "left")
@@ -158,14 +158,14 @@ class ItemIndex:
             text = b[a:e]
             exact = text.tobytes().find(self.texts[i])
             if exact >= 0:
-                found.append((d, int(self.ids[i]), a + exact, a + exact + len(self.texts[i]), 0))
+                found.append((d, self.ids[i], a + exact, a + exact + len(self.texts[i]), 0))
                 taken[d, i] = a + exact + 1
                 continue
             whole = np.frombuffer(self.texts[i], np.uint8)
             edits, end = _alignment(whole, text)
             if edits <= k:
                 back = _alignment(whole[::-1], text[:end][::-1])[1]
-                found.append((d, int(self.ids[i]), a + end - back, a + end, edits))
+                found.append((d, self.ids[i], a + end - back, a + end, edits))
                 taken[d, i] = a + end - back + width
         return found
 
@@ -187,7 +187,7 @@ def _search_udf(spark, index: ItemIndex):
                     {"item_id": item, "first": int(kept[first] - offs[d]), "last": int(kept[last - 1] + 1 - offs[d]), "edits": edits}
                 )
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int32())]))
-        return pa.array([sorted(x, key=lambda s: (s["item_id"], s["first"])) for x in out], kind)
+        return pa.array([sorted(x, key=lambda s: (s["item_id"] is not None, s["item_id"] or 0, s["first"])) for x in out], kind)
 
     return regions
 
@@ -200,7 +200,7 @@ def regions_of(
     An occurrence has at most rate * m edits of the item's m characters (fewer for items so short that the filter
     would not bound them: at most (m - 12) / 12; items under 12 characters are found as whole words only). first and
     last are byte offsets in the original text, last exclusive. Null and empty texts have no regions; null and empty
-    items are nowhere. The texts aren't shuffled. The items are sent to the executors in blocks of about `block_chars`
+    items are nowhere; regions of items with a null id have a null item_id. The texts aren't shuffled. The items are sent to the executors in blocks of about `block_chars`
     characters, one after another if there are more: what is broadcast is bounded by that.
     """
     total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -209,7 +209,7 @@ def regions_of(
     columns = []
     for block in range(blocks):
         part = listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else listed
-        index = ItemIndex.build(sorted({(r.i, r.t) for r in part.collect() if r.i is not None}, key=lambda x: (x[0], x[1] or "")), rate)
+        index = ItemIndex.build(sorted({(r.i, r.t) for r in part.collect()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), rate)
         columns.append(_search_udf(items.sparkSession, index)(text.cast("string")))
     return columns[0] if len(columns) == 1 else F.array_sort(F.concat(*columns))
 

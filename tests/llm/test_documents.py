@@ -494,6 +494,17 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench).count() == docs.count()
 
 
+def test_benchmark_items_without_id(spark):
+    rng = random.Random(12)
+    a, b = made_text(rng, 45), made_text(rng, 45)
+    bench = spark.createDataFrame([(None, a), (3, b)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"so {a} and {b}"), (2, "nothing of it"), (3, a)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(df, bench).collect()}
+    assert {i: r.item_ids for i, r in got.items() if r.contaminated} == {1: [3, None], 3: [None]}
+    blocks = decontam.regions_of(F.col("text"), bench, block_chars=100)
+    assert {r.doc_id for r in df.where(F.size(blocks) > 0).collect()} == {1, 3}
+
+
 def test_alignment_is_edit_distance():
     rng = random.Random(2)
     for _ in range(60):
