@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.scratch import cut
+from quillon.llm.scratch import forget, written
 
 
 PIECE = 200_000
@@ -75,14 +75,19 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of edges (a, b): component is the least node reachable.
+    """(node, component) of the nodes of edges (a, b): component is the least node reachable. A written table.
 
     Nodes are longs. Every step is joins and aggregations that combine before they shuffle; no node's
     neighbours are gathered in one place; union-find runs on pieces of `PIECE` edges or so. Edges with a null end, and loops, are ignored.
     """
     links = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    e = cut(links.hint("rebalance").mapInArrow(_stars_of_pieces, "a long, b long").distinct())
+    e = written(links.hint("rebalance").mapInArrow(_stars_of_pieces, "a long, b long").distinct(), "stars")
     while not _is_star_forest(e):
-        e = cut(_small_star(_large_star(e)))
+        large = written(_large_star(e), "stars")
+        forget(e)
+        e = written(_small_star(large), "stars")
+        forget(large)
     centers = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centers)
+    labels = written(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centers), "components")
+    forget(e)
+    return labels

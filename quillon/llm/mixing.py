@@ -2,9 +2,10 @@
 
 DataFrame operations only. Every document gets the key -ln(u) / w: u is a fixed hash of its id in (0, 1), w its
 quality weight, so that taking documents in ascending key order is weighted sampling without replacement. A
-source whose target is several times its size gives whole epochs first; the rest of its target is filled in key
+source whose target is several times its size gives whole epochs first; the rest of its target is filled by a prefix in key
 order. Only the stretch of keys where the budget runs out needs an order: it is found by histograms of the keys,
-256 buckets a round, until it holds `boundary_rows` documents at most. No source is ever sorted as a whole.
+256 buckets a round, until it holds `boundary_rows` documents at most. No source is ever sorted as a whole; the table of
+sources, a row for each, is.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.scratch import written
+from quillon.llm.scratch import forget, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
@@ -51,7 +52,7 @@ def keyed(docs: DataFrame, size: Column, weight: Column, config: MixConfig, id_c
             "mix_size": size,
             "mix_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("z")),
             "mix_key": -F.log(u) / weight,
-            "mix_id": F.col(id_col).cast("string"),
+            "mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
         }
     )
 
@@ -79,88 +80,117 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
 
 
+_POS = "struct<mix_key:double,mix_id:string,mix_size:bigint>"
+_SPANS = f"array<struct<lo:{_POS},hi:{_POS},bound:double>>"
+
+
+def _pos() -> Column:
+    return F.struct("mix_key", "mix_id", "mix_size")
+
+
+def _walk(state: Column, at: Column) -> Column:
+    """One step of the walk in key order; at holds a place and the rows that share it."""
+    size, total, left = at["pos"]["mix_size"], at["words"], state["left"]
+    rest = left - total
+    closed = F.concat(state["spans"], F.array(F.struct(state["lo"].alias("lo"), at["pos"].alias("hi"), state["bound"].alias("bound"))))
+
+    def then(left: Column, bound: Column, lo: Column, spans: Column, last: Column, done: bool) -> Column:
+        return F.struct(left.alias("left"), bound.alias("bound"), lo.alias("lo"), spans.alias("spans"), last.alias("last"), F.lit(done).alias("done"))
+
+    return (
+        F.when(state["done"] | (size >= state["bound"]), state)
+        .when(rest > 0, then(rest, state["bound"], state["lo"], state["spans"], state["last"], False))
+        .when(rest > -left, then(rest, state["bound"], state["lo"], closed, at["pos"], True))
+        .otherwise(then(left, 2 * left, at["pos"], closed, state["last"], False))
+    )
+
+
 def plan_mix(slim: DataFrame, config: MixConfig) -> DataFrame:
-    """A row for each source: source_size, target, epochs, below (keys under it are taken once more), picks.
+    """A row for each source: source_size, target, epochs, spans, last. A written table.
 
     slim: mix_id, mix_size, mix_source, mix_key of all documents. It is read once a round: write it first.
-    picks are the (mix_key, mix_id) that are taken of the keys where the budget runs out.
+
+    What whole epochs leave of a target is filled in key order: documents are taken up to the first that doesn't fit. That one
+    is taken, as the last, if the source then ends nearer to its target; else it is passed over, and so are all further ones of its
+    kind, at least twice as large as what is left: the prefix goes on with the others. spans (lo, hi, bound) say what is
+    taken: documents between lo and hi, both excluded, of sizes below bound; last is taken too. The rule is the same
+    for every number of documents: histograms find the stretch of keys in which a prefix ends, and `boundary_rows` only
+    says from where on that stretch is walked as a list.
     """
+    none = F.expr(f"cast(array() as {_SPANS})")
+    start = F.expr(f"cast(struct(-1.0D, '', -1L) as {_POS})")
     state = _targets(slim, config).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     )
-    state = state.withColumns(
-        {"left": F.col("target") - F.col("epochs") * F.col("source_size"), "lo": F.lit(0.0), "hi": F.lit(float("inf"))}
+    state = state.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumns(
+        {
+            "bound": 2 * F.col("left"),
+            "lo": start,
+            "at": start,
+            "upto": F.lit(float("inf")),
+            "n": F.lit(0).cast("long"),
+            "spans": none,
+            "last": F.expr(f"cast(null as {_POS})"),
+            "done": F.col("left") <= 0,
+        }
     )
-    state = _small(written(state, "mix-sources"))
-    place = lambda c: F.exp(-F.col(c))
+    columns = state.columns
+    state = written(state, "mix-sources")
+    place = lambda c: F.exp(-F.greatest(c, F.lit(0.0)))
     while True:
-        inside = slim.join(state, "mix_source").where("mix_key >= lo and mix_key <= hi")
-        widest = inside.groupBy("mix_source").count().agg(F.max("count")).first()[0] or 0
-        if widest <= config.boundary_rows:
-            break
-        share = (place("lo") - place("mix_key")) / (place("lo") - place("hi"))
+        open_ = state.where("not done")
+        if open_.isEmpty():
+            return state.select("mix_source", "source_size", "target", "epochs", "spans", "last")
+        inside = slim.join(_small(open_.select("mix_source", "left", "bound", "at", "upto")), "mix_source")
+        inside = inside.where((_pos() > F.col("at")) & (F.col("mix_key") <= F.col("upto")) & (F.col("mix_size") < F.col("bound")))
+        first, last = place(F.col("at.mix_key")), place(F.col("upto"))
+        share = F.coalesce((first - place(F.col("mix_key"))) / F.nullif(first - last, F.lit(0.0)), F.lit(0.0))
         bucket = F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).alias("bucket")
         hist = inside.groupBy("mix_source", bucket).agg(
-            F.sum("mix_size").alias("words"), F.min("mix_key").alias("from"), F.max("mix_key").alias("to"), F.count("*").alias("n")
+            F.sum("mix_size").alias("words"), F.min("mix_key").alias("from"), F.max("mix_key").alias("to"), F.count("*").alias("n"), F.first("left").alias("left")
         )
-        upto = F.sum("words").over(Window.partitionBy("mix_source").orderBy("bucket"))
-        cut = (
-            hist.withColumn("upto", upto)
-            .join(state.select("mix_source", "left"), "mix_source")
-            .where(F.col("upto") >= F.col("left"))
-            .groupBy("mix_source")
-            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "from", "to")).alias("cut"))
-        )
-        state = state.join(cut, "mix_source", "left").select(
-            "mix_source",
-            "source_size",
-            "target",
-            "epochs",
-            (F.col("left") - F.coalesce("cut.before", F.lit(0))).alias("left"),
-            F.coalesce("cut.from", "lo").alias("lo"),
-            F.coalesce("cut.to", "hi").alias("hi"),
-        )
-        state = _small(written(state, "mix-sources"))
-        if not state.where("lo < hi").limit(1).count():
-            break
-    # Rows equal in key and id stand or fall together.
-    edge = inside.groupBy("mix_source", "mix_key", "mix_id").agg(F.sum("mix_size").alias("words"))
-    listed = edge.groupBy("mix_source").agg(F.array_sort(F.collect_list(F.struct("mix_key", "mix_id", "words"))).alias("edge"))
-    took = state.join(listed, "mix_source", "left").withColumn(
-        "took",
-        F.aggregate(
-            F.coalesce("edge", F.expr("cast(array() as array<struct<mix_key:double,mix_id:string,words:bigint>>)")),
-            F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<struct<mix_key:double,mix_id:string>>)").alias("picks")),
-            lambda acc, x: F.when(
-                x["words"] <= acc["left"],
-                F.struct(
-                    (acc["left"] - x["words"]).alias("left"),
-                    F.concat(acc["picks"], F.array(F.struct(x["mix_key"].alias("mix_key"), x["mix_id"].alias("mix_id")))).alias("picks"),
-                ),
-            ).otherwise(acc),
-        ),
-    )
-    # The least document left out is taken too if the source then ends nearer to its target, though above it.
-    out = F.filter("edge", lambda x: ~F.array_contains("took.picks", F.struct(x["mix_key"].alias("mix_key"), x["mix_id"].alias("mix_id"))))
-    least = F.array_min(F.transform(out, lambda x: F.struct(x["words"].alias("words"), x["mix_key"].alias("mix_key"), x["mix_id"].alias("mix_id"))))
-    more = F.array(F.struct(least["mix_key"].alias("mix_key"), least["mix_id"].alias("mix_id")))
-    picks = F.when(least["words"] < 2 * F.col("took.left"), F.concat("took.picks", more)).otherwise(F.col("took.picks"))
-    return took.select("mix_source", "source_size", "target", "epochs", F.col("lo").alias("below"), picks.alias("picks"))
+        hist = hist.withColumn("before", F.sum("words").over(Window.partitionBy("mix_source").orderBy("bucket")) - F.col("words"))
+        cut = hist.where("before + words >= left").groupBy("mix_source").agg(F.min(F.struct("bucket", "before", "from", "to", "n")).alias("cut"))
+        found = F.col("cut").isNotNull()
+        open_span = F.struct("lo", F.expr(f"cast(null as {_POS})").alias("hi"), "bound")
+        moved = {
+            "left": F.col("left") - F.coalesce("cut.before", F.lit(0)),
+            "at": F.when(found, F.struct(F.col("cut.from").alias("mix_key"), F.lit("").alias("mix_id"), F.lit(-1).cast("long").alias("mix_size"))).otherwise(F.col("at")),
+            "upto": F.coalesce("cut.to", "upto"),
+            "n": F.when(F.col("cut.from") < F.col("cut.to"), F.col("cut.n")).otherwise(0),
+            "spans": F.when(found | F.col("done"), F.col("spans")).otherwise(F.concat("spans", F.array(open_span))),
+            "done": F.col("done") | ~found,
+        }
+        older, state = state, written(state.join(cut, "mix_source", "left").select(*[moved.get(c, F.col(c)).alias(c) for c in columns]), "mix-sources")
+        forget(older)
+        if (state.where("not done").agg(F.max("n")).first()[0] or 0) > config.boundary_rows:
+            continue
+        inside = slim.join(_small(state.where("not done").select("mix_source", "bound", "at", "upto")), "mix_source")
+        inside = inside.where((_pos() > F.col("at")) & (F.col("mix_key") <= F.col("upto")) & (F.col("mix_size") < F.col("bound")))
+        edge = inside.groupBy("mix_source", _pos().alias("pos")).agg(F.sum("mix_size").alias("words"))
+        listed = edge.groupBy("mix_source").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("edge"))
+        walked = F.aggregate("edge", F.struct("left", "bound", "lo", "spans", "last", "done"), _walk)
+        moved = {c: F.when(F.col("edge").isNull(), F.col(c)).otherwise(F.col(f"walked.{c}")) for c in ("left", "bound", "lo", "spans", "last", "done")}
+        moved |= {"at": F.when(F.col("edge").isNull(), F.col("at")).otherwise(F.element_at("edge", -1)["pos"]), "upto": F.lit(float("inf"))}
+        both = state.join(listed, "mix_source", "left").withColumn("walked", walked)
+        older, state = state, written(both.select(*[moved.get(c, F.col(c)).alias(c) for c in columns]), "mix-sources")
+        forget(older)
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The keyed rows with source_size, target, copies (times that the mix takes the row)."""
-    extra = (F.col("mix_key") < F.col("below")) | F.array_contains("picks", F.struct("mix_key", "mix_id"))
-    return rows.join(_small(plan), "mix_source").withColumn("copies", F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("long"))
+    within = lambda s: (_pos() > s["lo"]) & (s["hi"].isNull() | (_pos() < s["hi"])) & (F.col("mix_size") < s["bound"])
+    extra = F.exists("spans", within) | (F.col("last").isNotNull() & (_pos() == F.col("last")))
+    return rows.join(_small(plan), "mix_source").withColumn("copies", F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("long")).drop("spans", "last")
 
 
 def mix_sources(docs: DataFrame, config: MixConfig = MixConfig(), text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of each row of `docs`.
 
     size counts the words of the text, 0 for null and empty texts. All sources share the sum of all sizes by
-    `config.weights`; null is a source of its own, the last. taken = copies * size. A source's taken words end
-    within the smallest document left out of its target; a source without words gives nothing. Rows that repeat
-    an id are taken together. Without rows the result is empty. Ids may be null.
+    `config.weights`; null is a source of its own, the last. taken = copies * size. A source's taken words end as near
+    to its target as plan_mix says; a source without words gives nothing. Rows that tie in key, id and size
+    are taken together. Copies of a row are config.cap at most, of empty texts too. Without rows the result is empty. Ids may be null.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
     rows = keyed(docs, word_count(F.col("text")), quality_weight(F.col("text")), config)

@@ -24,7 +24,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir), num=85)
+    return near_duplicates(_documents(spark, sf_dir), num=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Lineage cuts in the folder that all executors and the driver share.
 
 The folder is the session's ``spark.checkpoint.dir``. Only a session without one (a local test) gets a
-temporary folder of its own.
+temporary folder of its own. Tables that only a step of an operator reads are deleted with `forget` as soon as what was
+made of them is written; those that a returned DataFrame still reads stay until `clear`.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ours: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; sets one for a session that has none."""
@@ -32,10 +35,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _ours.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _ours:
+        _ours.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave, which nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        if path := getattr(table, "_written_path", None):
+            _deleted(table.sparkSession, path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small iterated table."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process wrote and that are still there; results that read them can't be read again."""
+    for path in list(_ours):
+        _deleted(spark, path)

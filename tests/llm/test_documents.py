@@ -247,6 +247,45 @@ def test_mixing_of_few_documents_ends_near(spark):
     assert {i: r.copies for i, r in got.items()} == {1: 3, 2: 2, 3: 0} and got[2].target == pytest.approx(320 * 2 / 3)
 
 
+def walked(rows, left):
+    """The ids that the walk in key order takes of (key, id, size)."""
+    got, bound = [], 2 * left
+    for key, i, size in sorted(rows) if left > 0 else []:
+        if size >= bound:
+            continue
+        if size < left:
+            got.append(i)
+            left -= size
+        elif size < 2 * left:
+            return [*got, i]
+        else:
+            bound = 2 * left
+    return got
+
+
+@pytest.mark.parametrize("n", [300, 9_000])
+@pytest.mark.parametrize("boundary", [4, 4096])
+def test_mixing_is_a_prefix_at_every_size(spark, n, boundary):
+    """The same rule for sources below and above boundary_rows, with few very long documents among short ones."""
+    long = F.when(F.col("id") % 97 == 5, F.col("id") % 13 * 700).otherwise(F.col("id") % 29)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), long.cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    config = mixing.MixConfig(boundary_rows=boundary)
+    rows = mixing.keyed(docs, mixing.word_count(F.col("text")), mixing.quality_weight(F.col("text")), config).collect()
+    got = {r.doc_id: r for r in mixing.mix_sources(docs, config).collect()}
+    for s in ("s0", "s1", "s2"):
+        own = [(r.mix_key, str(r.doc_id), r.mix_size) for r in rows if r.source == s]
+        size, target = sum(x[2] for x in own), next(got[int(i)].target for _, i, _ in own)
+        epochs = int(target // size)
+        extra = set(walked(own, target - epochs * size))
+        assert {i: got[int(i)].copies for _, i, _ in own} == {i: epochs + (i in extra) for _, i, _ in own}
+
+
+def test_empty_texts_keep_to_the_cap(spark):
+    docs = spark.createDataFrame([(1, "w w", "a"), (2, "", "a"), (3, None, "a"), (4, "w " * 90, "b"), (5, "", "c")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.copies for r in mixing.mix_sources(docs).collect()}
+    assert max(got.values()) <= 3 and got[1] == 3 and mixing.mixed_rows(docs).count() == sum(got.values())
+
+
 def test_mixing_prefers_weight(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(1).alias("w"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25).alias("q"))
     rows = mixing.keyed(docs, F.col("w").cast("long"), F.col("q"), mixing.MixConfig())
