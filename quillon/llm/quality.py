@@ -192,43 +192,63 @@ def _marginals(e: np.ndarray, live: np.ndarray, move: np.ndarray, start: np.ndar
     return node, pair
 
 
-def fit(texts: list[str], good: list[int], max_lines: int = 80, steps: int = 120, sure: float = 0.8, penalty: float = 1e-3) -> LineField:
-    """Fits the field to labelled texts, the first max_lines lines of each. Without both classes all lines are content."""
+@dataclass
+class _Group:
+    """Labelled texts of like numbers of lines, padded: features, which places are lines, labels, texts known to be good."""
+
+    x: np.ndarray
+    live: np.ndarray
+    y: np.ndarray
+    good: np.ndarray
+
+    def marginals(self, theta: np.ndarray):
+        return _marginals(np.where(self.live, self.x @ theta[:FEATURES], 0), self.live, theta[FEATURES : FEATURES + 4].reshape(2, 2), theta[FEATURES + 4 :])
+
+    def gradient(self, theta: np.ndarray) -> np.ndarray:
+        onehot = np.stack([1 - self.y, self.y], axis=2) * self.live[:, :, None]
+        moves = (onehot[:, :-1, :, None] * onehot[:, 1:, None, :]).sum(axis=(0, 1))
+        node, pair = self.marginals(theta)
+        gap = onehot - node
+        return np.concatenate([np.einsum("dl,dlf->f", gap[:, :, 1], self.x), (moves - pair.sum(axis=(0, 1))).reshape(-1), gap[:, 0].sum(axis=0)])
+
+
+def fit(texts: list[str], good: list[int], steps: int = 120, sure: float = 0.8, penalty: float = 1e-3) -> LineField:
+    """Fits the field to all lines of labelled texts. Without both classes all lines are content.
+
+    The first labels of a bad text's lines are all boilerplate; a second fit takes those of them for content that the first is sure of.
+    """
     found = [measure(buf, offs) for _, _, buf, offs in vec.text_chunks(pa.array([t or "" for t in texts], pa.large_string()))]
     y_text = np.array(good, np.int64)
     everything = LineField(np.zeros(FEATURES), np.ones(FEATURES), np.r_[1.0, np.zeros(FEATURES - 1)], np.zeros((2, 2)), np.zeros(2))
     if not found or y_text.min() == y_text.max() or not any(len(m.words) for m in found):
         return everything
-    per_text = [m.features[m.bounds[i] : m.bounds[i + 1]][:max_lines] for m in found for i in range(len(m.bounds) - 1)]
+    per_text = [m.features[m.bounds[i] : m.bounds[i + 1]] for m in found for i in range(len(m.bounds) - 1)]
     used = [i for i, f in enumerate(per_text) if len(f)]
-    length = max(len(per_text[i]) for i in used)
-    x = np.zeros((len(used), length, FEATURES))
-    live = np.zeros((len(used), length), bool)
-    for row, i in enumerate(used):
-        x[row, : len(per_text[i])] = per_text[i]
-        live[row, : len(per_text[i])] = True
-    mean, scale = x[live].mean(axis=0), x[live].std(axis=0)
+    lines = np.concatenate([per_text[i] for i in used])
+    mean, scale = lines.mean(axis=0), lines.std(axis=0)
     mean[0], scale[0] = 0.0, 1.0
     scale[scale < 1e-9] = 1.0
-    x = np.where(live[:, :, None], (x - mean) / scale, 0)
-    good_rows = y_text[used] == 1
-    y = np.repeat(good_rows[:, None], length, axis=1).astype(np.int64)
+    like: dict[int, list[int]] = {}
+    for i in used:
+        like.setdefault((len(per_text[i]) - 1).bit_length(), []).append(i)
+    groups = []
+    for members in like.values():
+        length = max(len(per_text[i]) for i in members)
+        x, live = np.zeros((len(members), length, FEATURES)), np.zeros((len(members), length), bool)
+        for row, i in enumerate(members):
+            x[row, : len(per_text[i])] = (per_text[i] - mean) / scale
+            live[row, : len(per_text[i])] = True
+        good_rows = y_text[members] == 1
+        groups.append(_Group(x, live, np.repeat(good_rows[:, None], length, axis=1).astype(np.int64), good_rows))
     theta = np.zeros(FEATURES + 6)
     for _round in range(2):
         first, second = np.zeros_like(theta), np.zeros_like(theta)
-        onehot = np.stack([1 - y, y], axis=2) * live[:, :, None]
-        moves = (onehot[:, :-1, :, None] * onehot[:, 1:, None, :]).sum(axis=(0, 1))
         for step in range(1, steps + 1):
-            w, move, start = theta[:FEATURES], theta[FEATURES : FEATURES + 4].reshape(2, 2), theta[FEATURES + 4 :]
-            node, pair = _marginals(np.where(live, x @ w, 0), live, move, start)
-            gap = onehot - node
-            grad = np.concatenate(
-                [np.einsum("dl,dlf->f", gap[:, :, 1], x), (moves - pair.sum(axis=(0, 1))).reshape(-1), gap[:, 0].sum(axis=0)]
-            ) / len(used) - penalty * theta
+            grad = sum(g.gradient(theta) for g in groups) / len(used) - penalty * theta
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
             theta = theta + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        node, _ = _marginals(np.where(live, x @ theta[:FEATURES], 0), live, theta[FEATURES : FEATURES + 4].reshape(2, 2), theta[FEATURES + 4 :])
-        y = np.where(good_rows[:, None], 1, (node[:, :, 1] > sure).astype(np.int64))
+        for g in groups:
+            g.y = np.where(g.good[:, None], 1, (g.marginals(theta)[0][:, :, 1] > sure).astype(np.int64))
     return LineField(mean, scale, theta[:FEATURES].copy(), theta[FEATURES : FEATURES + 4].reshape(2, 2).copy(), theta[FEATURES + 4 :].copy())
 
 
@@ -244,7 +264,7 @@ def verdicts(lines: Lines, field: LineField, share: float) -> tuple[np.ndarray,
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 600, max_chars: int = 10_000) -> LineField:
-    """The field of at most per_class labelled rows of each class, of texts of at most max_chars characters."""
+    """The field of at most per_class labelled rows of each class, of texts of at most max_chars characters, which are read whole."""
     known = labels.where("quality is not null and doc_id is not null")
     picked = [
         known.where(F.col("quality") == q).select("doc_id", F.lit(q).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

@@ -378,6 +378,19 @@ def test_quality_learns_lines(spark, docs, empty):
     assert quality.quality_rules(empty, quality.fit([], [])).count() == 0
 
 
+def test_quality_learns_from_late_lines():
+    """Boilerplate that stands after the first hundred lines of its texts alone is learnt too."""
+    rng = random.Random(6)
+    prose = lambda n: [made_text(rng, 12) + "." for _ in range(n)]
+    junk = lambda n: ["### " + made_text(rng, 1).upper() + " !! |" for _ in range(n)]
+    texts = ["\n".join(prose(150)) for _ in range(20)] + ["\n".join(prose(100) + junk(400)) for _ in range(20)]
+    field = quality.fit(texts, [1] * 20 + [0] * 20)
+    (_, _, buf, offs) = next(vec.text_chunks(pa.array(["\n".join(prose(60)), "\n".join(junk(60))])))
+    lines = quality.measure(buf, offs)
+    got = field.labels(lines.features, lines.bounds)
+    assert got[:60].mean() > 0.9 and got[60:].mean() < 0.1
+
+
 # ---- language model ----
 
 
