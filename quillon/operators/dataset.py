@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import miner_normalize, miner_synonyms, text_of
 from quillon.operators.retrieve import semantic_candidates
 from quillon.sources.rdf import first_rows
-from quillon.sources.tables import with_row_no
+from quillon.sources.tables import fixed, with_row_no
 
 PAIR_COLUMNS = ["source_iri", "target_iri", "source_label", "target_label", "source_text", "target_text", "sample_type", "match"]
 
@@ -66,28 +68,34 @@ def hard_negatives(sources: DataFrame, targets: DataFrame, alignment: DataFrame,
     return picked.select("source_iri", "target_iri", F.lit("hard_negative").alias("sample_type"), F.lit(0).alias("match"))
 
 
-def random_negatives(sources: DataFrame, targets: DataFrame, taken: DataFrame, num: int = 100, seed: int = 42, rounds: int = 4) -> DataFrame:
-    """At most num random pairs not in `taken`, each once.
+def _step(n: int) -> int:
+    """A number coprime to n, near n over the golden ratio: its multiples mod n run through all of 0..n-1, widely spread."""
+    step = max(1, int(n * 0.6180339887498949))
+    while gcd(step, n) != 1:
+        step += 1
+    return step
+
+
+def random_negatives(sources: DataFrame, targets: DataFrame, taken: DataFrame, num: int = 100, seed: int = 42, spread: int = 4) -> DataFrame:
+    """num random pairs not in `taken`, each once; all there are, where there are fewer.
 
-    Bounded: numbered sources and targets are paired by hashes of `rounds` times num draws and no more, so that it ends
-    even where few pairs are left, with what it found; all pairs are drawn where there are no more than that.
+    Sources and targets are numbered by MD5, pairs by both; the first draws of a walk through all pairs by a fixed
+    step, each of which meets another pair, are spread * num and as many as `taken` has, so that num are left at least.
+    One rule for all sizes; no more pairs are made than drawn.
     """
-    if num <= 0:
-        return taken.where("false").select("source_iri", "target_iri", F.lit("random_negative").alias("sample_type"), F.lit(0).alias("match"))
     spark = sources.sparkSession
     s, t = sources.select("source_iri").distinct(), targets.select("target_iri").distinct()
     n_s, n_t = s.count(), t.count()
     done = taken.select("source_iri", "target_iri").distinct()
-    if n_s * n_t <= rounds * num:
-        pool = s.crossJoin(t) if n_s * n_t else s.join(t, F.lit(False))
-    else:
-        draws = spark.range(rounds * num).select(
-            F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_s)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_t)).alias("j")
-        )
-        numbered = lambda df, c, k: with_row_no(df.withColumn("_md5", sample_order(seed, c)[0]), "_md5", c).select(c, F.col("row_no").alias(k))
-        pool = draws.distinct().join(numbered(s, "source_iri", "i"), "i").join(numbered(t, "target_iri", "j"), "j").select("source_iri", "target_iri")
+    draws = min(n_s * n_t, max(1, spread) * max(0, num) + done.count()) if num > 0 else 0
+    step, big = _step(max(1, n_s * n_t)), "decimal(38,0)"
+    place = (F.col("id").cast("decimal(19,0)") * F.lit(step).cast("decimal(19,0)")).cast(big) % F.lit(max(1, n_s * n_t)).cast(big)
+    drawn = spark.range(draws).select(place.cast("long").alias("p"))
+    drawn = drawn.select(F.expr(f"p div {max(1, n_t)}L").alias("i"), (F.col("p") % F.lit(max(1, n_t))).alias("j"))
+    numbered = lambda df, c, k: with_row_no(df.withColumn("_md5", sample_order(seed, c)[0]), "_md5", c).select(c, F.col("row_no").alias(k))
+    pool = drawn.join(numbered(s, "source_iri", "i"), "i").join(numbered(t, "target_iri", "j"), "j").select("source_iri", "target_iri")
     left = pool.join(done, ["source_iri", "target_iri"], "left_anti")
-    picked = left.orderBy(*sample_order(seed, "source_iri", "target_iri")).limit(num)
+    picked = left.orderBy(*sample_order(seed, "source_iri", "target_iri")).limit(max(0, num))
     return picked.select("source_iri", "target_iri", F.lit("random_negative").alias("sample_type"), F.lit(0).alias("match"))
 
 
@@ -108,7 +116,7 @@ def training_dataset(sources: DataFrame, targets: DataFrame, alignment: DataFram
     )
     n = positives.count()
     hard = hard_negatives(sources, targets, positives, n // 2, seed=seed)
-    samples = positives.union(hard)
+    samples = fixed(positives.union(hard))
     return with_texts(samples.union(random_negatives(sources, targets, samples, n // 2, seed)), sources, targets)
 
 

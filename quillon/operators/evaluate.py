@@ -91,9 +91,9 @@ def _measures() -> list[Column]:
     ]
 
 
-def ranking_metrics(merged: DataFrame, gold_col: str = "gold_target_iris", match_col: str = "match", k: int = 10) -> DataFrame:
-    """One row of n_pos, P@1, Hits@k and MRR@k over the positives; NaN without any."""
-    return _ranks(merged, gold_col, match_col, k).agg(*_measures())
+def ranking_metrics(merged: DataFrame, gold_col: str = "gold_target_iris", match_col: str = "match", k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of n_pos, P@1, Hits@k and MRR@k over the positives; NaN without any. With `by` one for each value that has positives."""
+    return _ranks(merged, gold_col, match_col, k).groupBy(*by).agg(*_measures())
 
 
 def metrics_by_source(merged: DataFrame, gold_col: str = "gold_target_iris", match_col: str = "match", k: int = 10) -> DataFrame:
@@ -138,26 +138,48 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5, label: str
     )
 
 
-def _curve(scored: DataFrame, label: str, score: str, digits: int = 4) -> DataFrame:
-    """By falling score, in steps of 10^-digits: positives and rows down to it. The window runs over the steps, not the rows."""
-    steps = scored.groupBy(F.round(score, digits).alias("s")).agg(F.sum((F.col(label) >= 0.5).cast("long")).alias("pos"), F.count("*").alias("rows"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    return steps.select(
-        "s", "pos", F.sum("pos").over(down).alias("tp"), F.sum("rows").over(down).alias("seen"), F.sum("pos").over(whole).alias("all_pos"), F.sum("rows").over(whole).alias("all_rows"), F.lead("s").over(Window.orderBy(F.desc("s"))).alias("below")
+STRETCHES = 4096
+
+
+def _curve(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """By falling score, equal scores together: positives and rows down to it, and the next score below.
+
+    Scores are dealt into STRETCHES equal stretches between the least and the greatest finite one; a window runs over
+    the stretches, and one over the scores of each, so that no task holds all scores. A null score is below all others.
+    """
+    bottom = float("-inf")
+    s = F.coalesce(F.col(score).cast("double"), F.lit(bottom))
+    steps = scored.groupBy(F.when(s == 0, 0.0).otherwise(s).alias("s")).agg(F.sum((F.col(label) >= 0.5).cast("long")).alias("pos"), F.count("*").alias("rows"))
+    finite = F.when(F.isnan("s") | (F.abs("s") == float("inf")), None).otherwise(F.col("s"))
+    ends = scored.select(s.alias("s")).agg(F.min(finite).alias("least"), F.max(finite).alias("most"))
+    share = F.coalesce((F.col("s") / 2 - F.col("least") / 2) / F.nullif(F.col("most") / 2 - F.col("least") / 2, F.lit(0.0)), F.lit(0.0))
+    stretch = F.when(F.col("s") == bottom, -1).when(finite.isNull(), STRETCHES).otherwise(F.floor(share * (STRETCHES - 1)))
+    steps = steps.crossJoin(F.broadcast(ends)).select("s", "pos", "rows", stretch.cast("int").alias("stretch"))
+    sums = steps.groupBy("stretch").agg(F.sum("pos").alias("p"), F.sum("rows").alias("r"), F.max("s").alias("top"))
+    before, whole = Window.orderBy(F.desc("stretch")), Window.partitionBy()
+    upto = lambda c: F.sum(c).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    sums = sums.select(
+        F.col("stretch").alias("_stretch"), upto("p").alias("p"), upto("r").alias("r"), F.sum("p").over(whole).alias("all_pos"), F.sum("r").over(whole).alias("all_rows"), F.lead("top").over(before).alias("next_top")
+    )
+    own = Window.partitionBy("stretch").orderBy(F.desc("s"))
+    down = own.rowsBetween(Window.unboundedPreceding, 0)
+    within = steps.withColumns({"tp_": F.sum("pos").over(down), "seen_": F.sum("rows").over(down), "below_": F.lead("s").over(own)})
+    return within.join(F.broadcast(sums), F.col("stretch") == F.col("_stretch")).select(
+        "s", "pos", (F.col("p") + F.col("tp_")).alias("tp"), (F.col("r") + F.col("seen_")).alias("seen"), "all_pos", "all_rows", F.coalesce("below_", "next_top").alias("below")
     )
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """The mean over positives of the precision down to their score; ties count together. Scores differ from 10^-4 on."""
+    """The mean over positives of the precision down to their score; equal scores count together."""
     return _curve(scored, label, score).agg(
         F.coalesce(F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / F.col("seen")), F.lit(0.0)).alias("average_precision")
     )
 
 
 def best_threshold(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row (threshold, accuracy): the most accurate cut, halfway between two scores; of equal ones the highest."""
+    """One row (threshold, accuracy): the most accurate cut, halfway between two scores (below the least: 10^-4 less);
+    of equally accurate ones the highest."""
     curve = _curve(scored, label, score)
     right = F.col("tp") + (F.col("all_rows") - F.col("seen")) - (F.col("all_pos") - F.col("tp"))
     at = F.struct((right / F.col("all_rows")).alias("accuracy"), F.coalesce((F.col("s") + F.col("below")) / 2, F.col("s") - 1e-4).alias("threshold"))
-    return curve.where("below is not null or seen = all_rows").agg(F.max(at).alias("b")).select("b.threshold", "b.accuracy")
+    return curve.agg(F.max(at).alias("b")).select("b.threshold", "b.accuracy")

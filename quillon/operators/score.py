@@ -21,17 +21,17 @@ class AlignConfig:
     keep_top_n: int = 0
 
 
-def scoring_pairs(candidates: DataFrame, texts: DataFrame, cross_top_k: int = 20, mode: str = "hybrid", ratio_semantic: float = 0.5) -> DataFrame:
+def scoring_pairs(candidates: DataFrame, texts: DataFrame, cross_top_k: int = 20, mode: str = "hybrid", ratio_semantic: float = 0.5, budget: tuple[Column, Column] | None = None) -> DataFrame:
     """(query_id, iri, cand_rank, text) of the candidates to score.
 
     At least one a query, cross_top_k at most; exact hits aren't scored. In hybrid mode each source has its share of the
     budget, and what one lacks goes to the other's next candidates, semantic ones first. Candidates whose class has no
-    text are dropped after the cut.
+    text are dropped after the cut. `budget` gives the shares of both sources as columns of query_id, in place of cross_top_k and ratio.
     """
-    k = max(cross_top_k, 1)
+    k = budget[0] + budget[1] if budget else max(cross_top_k, 1)
     rows = candidates.where(F.col("source") != "exact")
     if mode == "hybrid":
-        k_lexical, k_semantic = split_budget(k, ratio_semantic)
+        k_lexical, k_semantic = budget or split_budget(k, ratio_semantic)
         nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))
         lexical = F.col("source") == "lexical"
         order = F.when(lexical & (nth <= k_lexical), 0).when(~lexical & (nth <= k_semantic), 1).when(~lexical, 2).otherwise(3)

@@ -70,26 +70,42 @@ def prepare(queries: DataFrame, index: Index, query_vectors: DataFrame, scorer:
     return SearchState(queries, exact, lexical, semantic, score_pairs(pairs, queries, scorer).select("query_id", "iri", "score").cache(), index.texts)
 
 
+def _planned(state: SearchState, tried: list[Trial]) -> DataFrame:
+    """A row for each trial with its settings and budgets: the small side of all joins."""
+    rows = [(n, *vars(t).values(), *split_budget(t.merged_top_k, t.ratio_semantic), *split_budget(max(t.cross_top_k, 1), t.ratio_semantic)) for n, t in enumerate(tried)]
+    settings = ", ".join(f"{c} {'double' if c == 'ratio_semantic' else 'int'}" for c in Trial.__dataclass_fields__)
+    return state.queries.sparkSession.createDataFrame(rows, f"trial int, {settings}, k_lexical long, k_semantic long, c_lexical long, c_semantic long")
+
+
+def run_trials(state: SearchState, tried: list[Trial]) -> DataFrame:
+    """(trial, query_id, predicted_iri) of all trials at once: trials are rows beside the ranks, and a query's name holds its trial."""
+    plan = F.broadcast(_planned(state, tried))
+    key = F.struct("trial", "query_id", "merged_top_k", "c_lexical", "c_semantic").alias("query_id")
+    taken = lambda df, most: df.join(plan, F.col("rank") <= F.col(most)).select(key, *COLUMNS[1:])
+    merged = merge_candidates(taken(state.lexical, "k_lexical"), taken(state.semantic, "k_semantic"), F.col("query_id.merged_top_k"))
+    pairs = scoring_pairs(merged, state.texts, budget=(F.col("query_id.c_lexical"), F.col("query_id.c_semantic"))).drop("text")
+    scores = state.scores.withColumnRenamed("query_id", "_query")
+    scored = pairs.withColumn("_query", F.col("query_id.query_id")).join(scores, ["_query", "iri"]).select("query_id", "iri", "cand_rank", "score")
+    best = best_predictions(scored).select("query_id.trial", "query_id.query_id", "predicted_iri")
+    exact = state.exact.groupBy("query_id").agg(F.min("iri").alias("predicted_iri")).crossJoin(plan.select("trial"))
+    return best.union(exact.select("trial", "query_id", "predicted_iri"))
+
+
 def run_trial(state: SearchState, trial: Trial) -> DataFrame:
     """(query_id, predicted_iri) of a trial."""
-    k_lexical, k_semantic = split_budget(trial.merged_top_k, trial.ratio_semantic)
-    merged = merge_candidates(state.lexical.where(F.col("rank") <= k_lexical), state.semantic.where(F.col("rank") <= k_semantic), trial.merged_top_k)
-    pairs = scoring_pairs(merged, state.texts, trial.cross_top_k, "hybrid", trial.ratio_semantic).drop("text")
-    best = best_predictions(pairs.join(state.scores, ["query_id", "iri"]).select("query_id", "iri", "cand_rank", "score"))
-    exact = state.exact.groupBy("query_id").agg(F.min("iri").alias("predicted_iri"))
-    return best.select("query_id", "predicted_iri").union(exact)
+    return run_trials(state, [trial]).drop("trial")
 
 
 def search(state: SearchState, gold: DataFrame, tried: list[Trial]) -> DataFrame:
     """A row for each trial with its precision at one, best first. gold: query_id, gold_target_iris, match."""
-    out = None
-    for number, trial in enumerate(tried):
-        merged = state.queries.select("query_id").join(run_trial(state, trial), "query_id", "left").join(gold, "query_id", "left")
-        row = ranking_metrics(merged, k=1).select(F.lit(number).alias("trial"), *[F.lit(v).alias(c) for c, v in vars(trial).items()], "precision_at_1_pos")
-        out = row if out is None else out.union(row)
-    if out is None:
+    if not tried:
         raise ValueError("no trial to run")
-    return out.orderBy(F.desc("precision_at_1_pos"), "trial")
+    plan = _planned(state, tried)
+    every = state.queries.select("query_id").crossJoin(F.broadcast(plan.select("trial")))
+    merged = every.join(run_trials(state, tried), ["trial", "query_id"], "left").join(gold, "query_id", "left")
+    measured = ranking_metrics(merged, k=1, by=("trial",)).select("trial", "precision_at_1_pos")
+    out = plan.join(measured, "trial", "left").withColumn("precision_at_1_pos", F.coalesce("precision_at_1_pos", F.lit(float("nan"))))
+    return out.select("trial", *Trial.__dataclass_fields__, "precision_at_1_pos").orderBy(F.desc("precision_at_1_pos"), "trial")
 
 
 def alignment_graph(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ def cross_features(left: Column, right: Column) -> list[Column]:
         (F.contains(a, b) | F.contains(b, a)).cast("double"),
         (a == b).cast("double"),
         F.least(F.length(a), F.length(b)) / longest,
-        1 - F.levenshtein(F.substring(a, 1, 64), F.substring(b, 1, 64)) / F.greatest(F.least(longest, F.lit(64)), F.lit(1)),
+        1 - F.levenshtein(a, b) / longest,
         cosine(hashed_encoding(a), hashed_encoding(b)),
     ]
 

@@ -124,31 +124,37 @@ def as_flag(spark, d):
     return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", F.coalesce(V.as_flag("v"), F.lit(-1)).alias("out"))
 
 
+_NUMBERS = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
 @registered(
-    "SELECT vec_id, round(1 / (1 + exp(-a)), 6) AS one, round(1 / (1 + exp(a - b)), 6) AS two, round(1 / (exp(a - m) + exp(b - m) + exp(c - m)), 6) AS three "
-    "FROM (SELECT *, greatest(a, b, c) AS m FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings))"
+    f"""SELECT vec_id, round(1 / (1 + exp(-a[1])), 6) AS one, round(1 / (1 + exp(a[1] - a[2])), 6) AS two, round(1 / list_sum(list_transform(a, lambda x: exp(x - list_max(a)))), 6) AS more
+    FROM (SELECT vec_id, {_NUMBERS} AS a FROM embeddings)"""
 )
 def scores_from_logits(spark, d):
-    at = lambda n: F.round(V.score_from_logits(F.slice("embedding", 1, n)), 6)
-    return table(spark, d, "embeddings").select("vec_id", at(1).alias("one"), at(2).alias("two"), at(3).alias("three"))
+    at = lambda x: F.round(V.score_from_logits(x), 6)
+    return table(spark, d, "embeddings").select("vec_id", at(F.slice("embedding", 1, 1)).alias("one"), at(F.slice("embedding", 1, 2)).alias("two"), at(F.col("embedding")).alias("more"))
 
 
 @registered(
-    "SELECT vec_id, unnest(range(1, 3)) AS i, unnest([round((a[1] + a[3] * (vec_id % 2)) / (1 + vec_id % 2), 6), round((a[2] + a[4] * (vec_id % 2)) / (1 + vec_id % 2), 6)]) AS v "
-    "FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings)"
+    f"""SELECT vec_id, CAST(i AS BIGINT) AS i, round((a[i] + a[i + half] * (vec_id % 2)) / (1 + vec_id % 2), 6) AS v
+    FROM (SELECT vec_id, a, half, unnest(range(1, half + 1)) AS i FROM (SELECT vec_id, {_NUMBERS} AS a, len(embedding) // 2 AS half FROM embeddings))"""
 )
 def mean_pool(spark, d):
-    hidden = F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 2))
+    half = (F.size("embedding") / 2).cast("int")
+    hidden = F.array(F.slice("embedding", 1, half), F.slice("embedding", half + 1, half))
     pooled = V.mean_pool(hidden, F.array(F.lit(1), (F.col("vec_id") % 2).cast("int")))
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(pooled).alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("v", 6).alias("v"))
 
 
 @registered(
-    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3 * CAST(x AS DOUBLE) * 3)) ** 0.5, 5) AS norm, round(embedding[1] / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) ** 0.5, 5) AS first FROM embeddings"
+    f"""SELECT vec_id, round(n, 5) AS norm, CAST(i AS BIGINT) AS i, round(CAST(CAST(3 * a[i] / n AS FLOAT) AS DOUBLE), 4) + 0.0 AS v
+    FROM (SELECT vec_id, a, list_sum(list_transform(a, lambda x: 9 * x * x)) ** 0.5 AS n, unnest(range(1, len(a) + 1)) AS i FROM (SELECT vec_id, {_NUMBERS} AS a FROM embeddings))"""
 )
 def l2_normalize(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("x"))
-    return v.select("vec_id", F.round(V.norm("x"), 5).alias("norm"), F.round(V.l2_normalized("x")[0].cast("double"), 5).alias("first"))
+    v = v.select("vec_id", F.round(V.norm("x"), 5).alias("norm"), F.posexplode(V.l2_normalized("x")).alias("i", "v"))
+    return v.select("vec_id", "norm", (F.col("i") + 1).cast("long").alias("i"), (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"))
 
 
 @registered(
@@ -216,9 +222,9 @@ def class_forms(spark, d):
     return C.forms(part_concepts(spark, d)).select("iri", "form", F.col("pos").cast("long").alias("pos"))
 
 
-@registered("SELECT form, count(*) AS n, min(iri) AS first FROM (SELECT DISTINCT form, iri FROM forms) GROUP BY form")
+@registered("SELECT form, string_agg(iri, ',' ORDER BY iri) AS iris FROM (SELECT DISTINCT form, iri FROM forms) GROUP BY form")
 def labels_to_classes(spark, d):
-    return I.labels_to_classes(C.forms(part_concepts(spark, d))).select("form", F.size("iris").cast("long").alias("n"), F.col("iris")[0].alias("first"))
+    return I.labels_to_classes(C.forms(part_concepts(spark, d))).select("form", F.array_join("iris", ",").alias("iris"))
 
 
 @registered("SELECT iri, token FROM postings")
@@ -383,8 +389,7 @@ def target_classes(spark, d) -> DataFrame:
 
 
 def alignment(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49")
-    return rows.select(F.concat(F.lit("supplier:"), F.col("l_suppkey") * 2).alias("source_iri"), F.concat(F.lit("part:"), F.col("l_partkey")).alias("target_iri")).distinct()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), F.col("l_suppkey") * 2).alias("source_iri"), F.concat(F.lit("part:"), F.col("l_partkey")).alias("target_iri")).distinct()
 
 
 @registered("SELECT source_iri, target_iri FROM valid")
@@ -417,14 +422,22 @@ def hard_negatives(spark, d):
     return _rounded(D.hard_negative_pool(side("source", "vec:", vectors.where("vec_id % 20 = 0")), side("target", "part:", vectors), own, 20, 0.1, 0.8))
 
 
-@registered("""SELECT r_name AS source_iri, p_type AS target_iri, 'random_negative' AS sample_type, 0 AS match
-    FROM region CROSS JOIN (SELECT DISTINCT p_type FROM part) WHERE NOT (r_name = 'ASIA' AND p_type = 'SMALL')
-    ORDER BY md5('42|' || r_name || '|' || p_type), r_name, p_type LIMIT 20""")
+def _random_sql(num: str, taken: str) -> str:
+    """CTEs that end in random_picked: num pairs of source_classes and target_classes that aren't among `taken`."""
+    numbered = lambda c, t: f"SELECT {c}, row_number() OVER (ORDER BY md5('42|' || {c}), {c}) - 1 AS no FROM (SELECT DISTINCT {c} FROM {t})"
+    return f"""s AS ({numbered("source_iri", "source_classes")}), t AS ({numbered("target_iri", "target_classes")}),
+    sizes AS (SELECT (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM s) * (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM {taken}) AS nd, {num} AS num),
+    steps AS (SELECT min(k) AS step FROM (SELECT unnest(range(CAST(floor(total * CAST(0.6180339887498949 AS DOUBLE)) AS BIGINT), CAST(floor(total * CAST(0.6180339887498949 AS DOUBLE)) AS BIGINT) + 1000)) AS k, total FROM sizes) WHERE gcd(k, total) = 1),
+    drawn AS (SELECT CAST((CAST(id AS HUGEINT) * step) % total AS BIGINT) AS p, nt FROM (SELECT unnest(range(least(total, 4 * num + nd))) AS id, total, nt FROM sizes) CROSS JOIN steps),
+    random_picked AS (SELECT source_iri, target_iri FROM drawn JOIN s ON s.no = p // nt JOIN t ON t.no = p % nt
+        WHERE (source_iri, target_iri) NOT IN (SELECT (source_iri, target_iri) FROM {taken})
+        ORDER BY md5('42|' || source_iri || '|' || target_iri), source_iri, target_iri LIMIT (SELECT num FROM sizes))"""
+
+
+@registered(f"WITH {_random_sql('200', 'valid')} SELECT source_iri, target_iri, 'random_negative' AS sample_type, 0 AS match FROM random_picked")
 def random_negatives(spark, d):
-    regions = table(spark, d, "region").select(F.col("r_name").alias("source_iri"))
-    types = table(spark, d, "part").select(F.col("p_type").alias("target_iri"))
-    taken = spark.createDataFrame([("ASIA", "SMALL")], "source_iri string, target_iri string")
-    return D.random_negatives(regions, types, taken, 20)
+    taken = D.valid_alignment(alignment(spark, d), source_classes(spark, d), target_classes(spark, d))
+    return D.random_negatives(source_classes(spark, d), target_classes(spark, d), taken, 200)
 
 
 @registered("""SELECT source_iri, target_iri, source_label, target_label, source_text, target_text, 'positive' AS sample_type, CAST(1.0 AS DOUBLE) AS match
@@ -434,13 +447,24 @@ def training_positives(spark, d):
     return D.with_texts(positives.select("source_iri", "target_iri", F.lit("positive").alias("sample_type"), F.lit(1).alias("match")), source_classes(spark, d), target_classes(spark, d))
 
 
-@registered("SELECT sample_type, match, CASE WHEN sample_type = 'positive' THEN n ELSE n // 2 END AS n FROM (SELECT unnest(['positive', 'random_negative']) AS sample_type, unnest([CAST(1.0 AS DOUBLE), 0.0]) AS match, (SELECT count(*) FROM valid) AS n)")
+@registered(f"""WITH supplier_vectors AS (SELECT source_iri, v.embedding FROM source_classes JOIN embeddings v ON v.vec_id = s_suppkey),
+    near AS (SELECT source_iri, target_iri, score, row_number() OVER (PARTITION BY source_iri ORDER BY round(score, 9) DESC, target_iri) AS rank
+        FROM (SELECT x.source_iri, y.iri AS target_iri, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score
+            FROM supplier_vectors x CROSS JOIN class_vectors y)),
+    hard AS (SELECT source_iri, target_iri FROM near WHERE rank <= 20 AND round(score, 9) BETWEEN 0.65 AND 0.8 AND (source_iri, target_iri) NOT IN (SELECT (source_iri, target_iri) FROM valid)
+        AND target_iri IN (SELECT target_iri FROM target_classes)
+        ORDER BY md5('42|' || source_iri || '|' || target_iri), source_iri, target_iri LIMIT (SELECT count(*) // 2 FROM valid)),
+    samples AS (SELECT * FROM valid UNION ALL SELECT * FROM hard),
+    {_random_sql("(SELECT count(*) // 2 FROM valid)", "samples")}
+    SELECT source_iri, target_iri, source_label, target_label, source_text, target_text, sample_type, match FROM (
+        SELECT *, 'positive' AS sample_type, CAST(1.0 AS DOUBLE) AS match FROM valid UNION ALL SELECT *, 'hard_negative', 0.0 FROM hard UNION ALL SELECT *, 'random_negative', 0.0 FROM random_picked)
+    JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri)""")
 def training_dataset(spark, d):
-    """Counts of each kind of sample; without vectors the pool of hard negatives is empty."""
-    none = F.array().cast("array<float>")
-    sources = source_classes(spark, d).withColumns({"source_synonyms": F.lit(""), "embedding": none})
-    made = D.training_dataset(sources, target_classes(spark, d).withColumn("embedding", none), alignment(spark, d))
-    return made.groupBy("sample_type", "match").agg(F.count("*").alias("n"))
+    """All rows; suppliers and parts have the vectors of their number. No supplier's name says anything of a part's, so no near pair is bad."""
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("supplier:"), F.col("vec_id")).alias("source_iri"), "embedding")
+    sources = source_classes(spark, d).withColumn("source_synonyms", F.lit("")).join(vectors, "source_iri", "left")
+    targets = target_classes(spark, d).join(class_vectors(spark, d).withColumnRenamed("iri", "target_iri"), "target_iri", "left")
+    return D.training_dataset(sources, targets, alignment(spark, d))
 
 
 _SPLIT = """SELECT doc_id, toxic, CASE WHEN place <= t THEN 'test' WHEN place <= t + ceil((n - t) * (0.15 / (0.75 + 0.15)) - 1e-9) THEN 'val' ELSE 'train' END AS split
@@ -534,17 +558,17 @@ def metrics_append(spark, d):
     return rows.select("EVAL_RUN_ID", "scope", "retrieval_source", F.coalesce("n_pos", F.lit(-1)).cast("long").alias("n_pos"), "join_method")
 
 
-_CURVE = """steps AS (SELECT round(score, 4) AS s, sum(quality) AS pos, count(*) AS n FROM lab GROUP BY round(score, 4)),
+_CURVE = """steps AS (SELECT score AS s, sum(quality) AS pos, count(*) AS n FROM lab GROUP BY score),
     curve AS (SELECT s, pos, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(pos) OVER () AS all_pos, sum(n) OVER () AS total,
         lead(s) OVER (ORDER BY s DESC) AS below FROM steps)"""
 
 
 def _labelled(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 1000 / 1000).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 1000 / 1000 + F.col("doc_id") / 1e9).alias("score"))
     return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", F.col("quality").alias("label"), "score")
 
 
-_LABELLED = "WITH lab AS (SELECT doc_id, quality, CAST(n_chars % 1000 AS DOUBLE) / 1000 AS score FROM labels JOIN documents USING (doc_id)), "
+_LABELLED = "WITH lab AS (SELECT doc_id, quality, CAST(n_chars % 1000 AS DOUBLE) / 1000 + CAST(doc_id AS DOUBLE) / CAST(1000000000 AS DOUBLE) AS score FROM labels JOIN documents USING (doc_id)), "
 
 
 @registered(
@@ -561,27 +585,51 @@ def classification_metrics(spark, d):
 
 
 @registered(
-    _LABELLED + _CURVE + """ SELECT round(coalesce((s + below) / 2, s - 1e-4), 6) AS threshold, round((tp + (total - seen) - (all_pos - tp)) / total, 6) AS accuracy
+    _LABELLED + _CURVE + """ SELECT round(coalesce((s + below) / 2, s - 1e-4), 12) AS threshold, round((tp + (total - seen) - (all_pos - tp)) / total, 6) AS accuracy
     FROM curve ORDER BY (tp + (total - seen) - (all_pos - tp)) DESC, s DESC LIMIT 1"""
 )
 def best_threshold(spark, d):
-    return _rounded(_rounded(E.best_threshold(_labelled(spark, d)), "threshold"), "accuracy")
+    return _rounded(E.best_threshold(_labelled(spark, d)).withColumn("threshold", F.round("threshold", 12)), "accuracy")
 
 
 # ---- search, graph, settings ----
 
 
-@registered("""SELECT id, side, count(*) AS degree FROM (
-    SELECT src AS id, 'source' AS side FROM (SELECT DISTINCT source_label AS src, target_label AS dst FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri))
-    UNION ALL SELECT dst, 'target' FROM (SELECT DISTINCT source_label AS src, target_label AS dst FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri))) GROUP BY id, side""")
+_EDGES = "SELECT DISTINCT source_label AS src, target_label AS dst FROM valid JOIN source_classes USING (source_iri) JOIN target_classes USING (target_iri)"
+
+
+@registered(f"""SELECT src AS id, 'source' AS side, count(*) AS degree, CAST(NULL AS VARCHAR) AS dst FROM ({_EDGES}) GROUP BY src
+    UNION ALL SELECT dst, 'target', count(*), NULL FROM ({_EDGES}) GROUP BY dst
+    UNION ALL SELECT src, 'edge', 1, dst FROM ({_EDGES})""")
 def alignment_graph(spark, d):
-    return H.alignment_graph(training_positives(spark, d))[0]
+    nodes, edges = H.alignment_graph(training_positives(spark, d))
+    return nodes.withColumn("dst", F.lit(None).cast("string")).union(edges.select("src", F.lit("edge"), F.lit(1).cast("long"), "dst"))
+
+
+_TRIALS = [t for r in (0.3, 0.5, 0.7) for a in (5, 10, 15) for b in (5, 10, 15) for m in (10, 20, 30) for c in (2, 5, 8, 10) if (t := H.Trial(a, b, m, r, c)).makes_sense()]
+_TRIED = ", ".join(
+    f"({n}, {t.merged_top_k}, {', '.join(map(str, R.split_budget(t.merged_top_k, t.ratio_semantic)))}, {', '.join(map(str, R.split_budget(t.cross_top_k, t.ratio_semantic)))})" for n, t in enumerate(_TRIALS[:100])
+)
 
 
-@registered("""SELECT 0 AS trial, round(avg(CASE WHEN predicted_iri IN (own, same) THEN 1.0 ELSE 0.0 END), 6) AS precision_at_1_pos FROM judged WHERE match = 1""")
+@registered(f"""WITH trials AS (SELECT * FROM (VALUES {_TRIED}) v(trial, merged_k, kl, ks, cl, cs)), said AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), {TOKEN})) AS a FROM asked),
+    texts AS (SELECT iri, list_distinct(regexp_extract_all(lower(text), {TOKEN})) AS b FROM concepts),
+    lists AS (SELECT trial, merged_k, cl, cs, l.query_id, l.iri, l.source, l.rank, 0 AS list FROM lexical l CROSS JOIN trials WHERE l.rank <= least(15, kl)
+        UNION ALL SELECT trial, merged_k, cl, cs, m.query_id, m.iri, m.source, m.rank, 1 FROM semantic m CROSS JOIN trials WHERE m.rank <= least(15, ks)),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY list, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY trial, query_id, iri ORDER BY list, rank) AS n FROM lists) WHERE n = 1),
+    dealt AS (SELECT *, row_number() OVER (PARTITION BY trial, query_id, source ORDER BY place) AS nth FROM kept WHERE place <= merged_k),
+    placed_pairs AS (SELECT trial, query_id, iri, row_number() OVER (PARTITION BY trial, query_id ORDER BY
+        CASE WHEN source = 'lexical' AND nth <= cl THEN 0 WHEN source <> 'lexical' AND nth <= cs THEN 1 WHEN source <> 'lexical' THEN 2 ELSE 3 END, place) AS cand_rank, cl + cs AS k FROM dealt),
+    pair_scores AS (SELECT trial, query_id, iri, cand_rank, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) AS score
+        FROM placed_pairs JOIN said USING (query_id) JOIN texts USING (iri) WHERE cand_rank <= k),
+    winners AS (SELECT trial, query_id, iri FROM (SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY score DESC, cand_rank) AS n FROM pair_scores) WHERE n = 1
+        UNION ALL SELECT trial, query_id, min(iri) FROM exact CROSS JOIN trials GROUP BY trial, query_id)
+    SELECT trial, round(avg(CASE WHEN w.iri IN (own, same) THEN 1.0 ELSE 0.0 END), 6) AS precision_at_1_pos
+    FROM gold CROSS JOIN trials LEFT JOIN winners w USING (trial, query_id) WHERE match = 1 GROUP BY trial""")
 def config_search(spark, d):
+    """A hundred trials over candidates to rank 15."""
     state = H.prepare(asked(spark, d), part_index(spark, d), asked_vectors(spark, d), most=15)
-    made = H.search(state, gold(spark, d), [H.Trial(15, 15, 30, 0.5, 10)])
+    made = H.search(state, gold(spark, d), _TRIALS[:100])
     return _rounded(made.select("trial", "precision_at_1_pos"), "precision_at_1_pos")
 
 

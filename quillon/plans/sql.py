@@ -109,7 +109,7 @@ CTES: dict[str, tuple[str, ...] | str] = {
         SELECT iri AS target_iri, label AS target_label, text AS target_text, row_no FROM concepts""",
     "alignment": """
         SELECT DISTINCT 'supplier:' || CAST(l_suppkey * 2 AS VARCHAR) AS source_iri, 'part:' || CAST(l_partkey AS VARCHAR) AS target_iri
-        FROM lineitem WHERE l_quantity >= 49""",
+        FROM lineitem""",
     "valid": """
         SELECT source_iri, target_iri FROM alignment
         WHERE source_iri IN (SELECT source_iri FROM source_classes) AND target_iri IN (SELECT target_iri FROM target_classes)""",
@@ -138,4 +138,5 @@ def query(final: str) -> str:
     visit(final)
     if not needed:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in _NEEDS if n in needed) + "\n" + final
+    shared = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in _NEEDS if n in needed)
+    return f"{shared},\n{final.removeprefix('WITH ')}" if final.startswith("WITH ") else f"{shared}\n{final}"

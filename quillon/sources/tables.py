@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import zipfile
 from collections.abc import Iterable
 from urllib.parse import urlparse
@@ -116,9 +117,23 @@ def zip_folder(folder: str, archive: str) -> None:
                     z.write(full, os.path.relpath(full, folder))
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: rows keep their partitions whatever reads them. A local session without a folder for it gets one."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="quillon-"))
+    return df.checkpoint()
+
+
 def with_row_no(df: DataFrame, *order: str) -> DataFrame:
-    """The rows numbered from 0 in the given order, without one task for all: by range, then within each."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """The rows numbered from 0 in the given order, without one task for all: by range, then within each.
+
+    The ranged rows are checkpointed, so that both uses of them have the same partitions.
+    """
+    ranged = fixed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     first = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

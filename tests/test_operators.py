@@ -8,6 +8,7 @@ from quillon.operators import index as I
 from quillon.operators import retrieve as R
 from quillon.operators import score as S
 from quillon.operators import search as H
+from quillon.sources.tables import with_row_no
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +196,28 @@ def test_search_and_graph(spark, index):
     assert len(got) == 3 and got[0].precision_at_1_pos == 1.0
     nodes, edges = H.alignment_graph(spark.createDataFrame([("a", "x"), ("a", "y"), (None, "y")], "source_label string, target_label string"))
     assert edges.count() == 2 and {(r.id, r.degree) for r in nodes.collect()} == {("a", 2), ("x", 1), ("y", 1)}
+
+
+def test_random_negatives_find_all_that_are_asked_for(spark):
+    """A dense table: 200 eligible pairs among 1,000, asked for in part, in whole and beyond."""
+    s = spark.createDataFrame([(f"s{i}",) for i in range(25)], "source_iri string")
+    t = spark.createDataFrame([(f"t{i}",) for i in range(40)], "target_iri string")
+    taken = spark.createDataFrame([(f"s{i}", f"t{j}") for i in range(20) for j in range(40)], "source_iri string, target_iri string")
+    for num, want in ((100, 100), (200, 200), (500, 200)):
+        got = {tuple(r)[:2] for r in D.random_negatives(s, t, taken, num).collect()}
+        assert len(got) == want and all(int(a[1:]) >= 20 for a, _ in got)
+
+
+def test_scores_closer_than_a_ten_thousandth(spark):
+    scored = spark.createDataFrame([(1.0, 0.90004), (0.0, 0.90003), (1.0, 0.90002), (0.0, 0.90001)], "label double, score double")
+    assert E.average_precision(scored).first()[0] == pytest.approx((1 + 2 / 3) / 2)
+    best = E.best_threshold(scored).first()
+    assert best.accuracy == 0.75 and best.threshold == pytest.approx(0.900035)
+    odd = spark.createDataFrame([(1.0, None), (0.0, float("inf")), (1.0, -5.0), (0.0, None), (1.0, 3.0)], "label double, score double")
+    assert E.average_precision(odd).first()[0] == pytest.approx((1 / 2 + 2 / 3 + 3 / 5) / 3)
+    assert E.average_precision(odd.where("false")).first()[0] == 0
+
+
+def test_numbers_of_rows_are_those_of_their_order(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as x").repartition(9)
+    assert all(r.x == r.row_no for r in with_row_no(df, "x").collect())
