@@ -1,46 +1,36 @@
-"""A bit table of ids, by which most rows of a large table are told to be outside a set without an exchange.
+"""A bit table of ids, by which most rows of a large table are told to be outside a set without an exchange of the rows.
 
-An id sets two bits of one 64-bit word. There are 16 bits for each id, 2^27 at most: 16 MB are broadcast, whatever the
-number of ids. Rows that the table can't rule out must be joined exactly; with far more than 2^27 ids these are most rows.
+An id sets two bits of one 64-bit word. There are 16 bits for each id, 2^26 at most. The words are a table of at most
+2^20 rows, which is broadcast, whatever the number of ids. Rows that the table can't rule out must be joined exactly; with
+far more than 2^26 ids these are most rows. DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_WORDS = 1 << 21
+from quillon.llm.scratch import written
+
+MOST_WORDS = 1 << 20
+_WORD, _BITS = "_among_word", "_among_bits"
+
+
+def _place(c: Column, words: int) -> tuple[Column, Column]:
+    """(word, its bits) of an id."""
+    h = F.xxhash64(c.cast("long"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(words - 1)).cast("int")
+    return word, bit(h).bitwiseOR(bit(F.shiftright(h, 6)))
 
 
-def may_be_among(ids: DataFrame, id_col: str = "id") -> Callable[[Column], Column]:
-    """A test of a column of longs: false only if the value is none of `ids`. Null is never among them."""
-    spark = ids.sparkSession
-    h = F.xxhash64(F.col(id_col))
+def marked(rows: DataFrame, ids: DataFrame, id_col: str = "id", mark: str = "_among", of: str = "id") -> DataFrame:
+    """The rows with a boolean column, false only if their id is none of `ids`. Null is never among them. `ids` is read twice: write it first."""
     n = ids.count()
     words = min(MOST_WORDS, 1 << max(4, (n // 4).bit_length()))
-    bits = F.expr(f"shiftleft(1L, cast({{0}} & 63 as int)) | shiftleft(1L, cast(shiftright({{0}}, 6) & 63 as int))".format("h"))
-    table = (
-        ids.where(F.col(id_col).isNotNull())
-        .select(h.alias("h"))
-        .select((F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(words - 1))).cast("int").alias("word"), bits.alias("bits"))
-        .groupBy("word")
-        .agg(F.bit_or("bits").alias("bits"))
-        .toArrow()
-    )
-    held = np.zeros(words, np.int64)
-    held[table["word"].to_numpy()] = table["bits"].to_numpy()
-    sent = spark.sparkContext.broadcast(held)
-
-    @F.arrow_udf("boolean")
-    def among(hashes: pa.Array) -> pa.Array:
-        x = hashes.fill_null(0).to_numpy(False).view(np.uint64)
-        one = np.uint64(1)
-        mask = (one << (x & np.uint64(63))) | (one << ((x >> np.uint64(6)) & np.uint64(63)))
-        word = sent.value.view(np.uint64)[((x >> np.uint64(40)) & np.uint64(words - 1)).astype(np.int64)]
-        return pa.array(word & mask == mask)
-
-    return lambda c: c.isNotNull() & among(F.xxhash64(c.cast("long")))
+    word, bits = _place(F.col(of), words)
+    table = ids.where(F.col(of).isNotNull()).select(word.alias(_WORD), bits.alias(_BITS)).groupBy(_WORD).agg(F.bit_or(_BITS).alias(_BITS))
+    word, bits = _place(rows[id_col], words)
+    joined = rows.join(F.broadcast(written(table, "bit-table")), word == F.col(_WORD), "left")
+    among = rows[id_col].isNotNull() & (F.coalesce(F.col(_BITS), F.lit(0).cast("long")).bitwiseAND(bits) == bits)
+    return joined.withColumn(mark, among).drop(_WORD, _BITS)

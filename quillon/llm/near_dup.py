@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import minhash, vec
 from quillon.llm.components import components
-from quillon.llm.membership import may_be_among
+from quillon.llm.membership import marked
 from quillon.llm.scratch import forget, written
 
 U64 = np.uint64
@@ -216,7 +216,7 @@ def near_duplicates(
         ends = edges.select(F.explode(F.array("me.rep", "hub.rep")).alias("rep")).distinct()
         involved = written(ends.join(renamed, "rep", "left").select(F.coalesce("least", "rep").alias("id")).distinct(), "involved")
         # Sets of rows let in by chance meet no edge.
-        sets = name.where(may_be_among(involved)(F.col("id"))).mapInArrow(_full_sets(shingle), _SETS).dropDuplicates(["d1", "d2"])
+        sets = marked(name, involved).where("_among").select("id", "text").mapInArrow(_full_sets(shingle), _SETS).dropDuplicates(["d1", "d2"])
         sets = written(sets, "sets")
         links = confirmed(edges, sets, similar_sets(num, den))
         forget(involved, sets)
@@ -283,12 +283,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = written(found.where("not stays").select("id", "d1", "d2").distinct(), "gone")
     many = written(repeated_ids(found), "many")
     forget(found)
-    touched = may_be_among(written(gone.select("id").union(many.select("id")).distinct(), "touched"))
-    row_id = F.col(id_col).cast("long")
-    clear = docs.where(row_id.isNull() | ~touched(row_id))
-    whole = docs.where(touched(row_id)).select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_id.alias("id"), set_digest(shingle)(F.col(text_col).cast("string")).alias("set")
-    )
+    touched = written(gone.select("id").union(many.select("id")).distinct(), "touched")
+    wrapped = marked(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id")), touched)
+    clear = wrapped.where("not _among").select("row.*")
+    whole = wrapped.where("_among").select("row", "id", set_digest(shingle)(F.col(f"row.{text_col}").cast("string")).alias("set"))
     whole = whole.select("row", "id", "set.d1", "set.d2").join(gone, ["id", "d1", "d2"], "left_anti")
     out = clear.union(whole.join(many, "id", "left_anti").select("row.*"))
     if many.isEmpty():
