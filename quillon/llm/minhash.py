@@ -60,10 +60,11 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     n, bins = sig.shape
     bands = bins // rows
     part = sig[:, : bands * rows].reshape(n, bands, rows)
+    odd = mix(np.arange(rows, dtype=U64), 3) | U64(1)
     key = np.broadcast_to(mix(np.arange(bands, dtype=U64), 7), (n, bands)).copy()
     for i in range(rows):
-        key = mix(key ^ part[:, :, i], i)
-    return key
+        key += part[:, :, i] * odd[i]
+    return mix(key)
 
 
 def set_digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -76,18 +76,18 @@ def _stars(shared: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     hubs = hubs.select("key", "hub", F.expr("named_struct('rep', small.rep, 'd1', small.d1, 'd2', small.d2, 'n', small.n)").alias("small"))
     both = rows.join(hubs, "key")
     linked = both.select("me", F.explode(F.array("hub", "small")).alias("hub"))
-    edges = linked.where((F.col("me.d1") != F.col("hub.d1")) | (F.col("me.d2") != F.col("hub.d2"))).where(_sizes_allow(num, den)).distinct()
+    edges = linked.where((F.col("me.d1") != F.col("hub.d1")) | (F.col("me.d2") != F.col("hub.d2"))).where(sizes_allow(num, den)).distinct()
     return edges, both.where("me <> hub and me <> small").select("key", "me.*")
 
 
-def _sizes_allow(num: int, den: int) -> Column:
+def sizes_allow(num: int, den: int) -> Column:
     """Whether the sizes of the sets of me and hub leave room for a link."""
     return F.lit(den) * F.least("me.n", "hub.n") >= F.lit(num) * F.greatest("me.n", "hub.n")
 
 
-def _sketches_allow(num: int, den: int) -> Column:
+def sketches_allow(num: int, den: int, words: int = _SKETCH) -> Column:
     """Whether the parities of the sets of me and hub leave room for a link: each bit that differs stands for an element of one set only."""
-    apart = sum(F.bit_count(F.col("me.sketch")[i].bitwiseXOR(F.col("hub.sketch")[i])) for i in range(_SKETCH))
+    apart = sum(F.bit_count(F.col("me.sketch")[i].bitwiseXOR(F.col("hub.sketch")[i])) for i in range(words))
     return F.lit(den + num) * apart <= F.lit(den - num) * (F.col("me.n") + F.col("hub.n"))
 
 
@@ -101,7 +101,7 @@ def bucket_components(
 ) -> DataFrame:
     """(node, component) of all links between members of a bucket, given those (a, b) of one or two hubs of each.
 
-    `rest` (key, rep, d1, d2, n) are the members of buckets that were no hub yet. Buckets whose rest is in several
+    `rest` (key, rep, d1, d2, and n if `sketches` lacks it) are the members of buckets that were no hub yet. Buckets whose rest is in several
     components get further hubs, by hash, which are compared with each member in another component than theirs and then
     leave the bucket: `first` hubs or so in the first round, and eight times as many in each further one, until each
     bucket's rest is one component. A pair of a bucket is so left out only if it is in one component already, or if
@@ -222,7 +222,7 @@ def near_duplicates(
         forget(involved, sets)
         return links
 
-    possible = _sizes_allow(num, den) & _sketches_allow(num, den)
+    possible = sizes_allow(num, den) & sketches_allow(num, den)
     edges = written(edges, "edges")
     links = confirm(edges)
     forget(edges)

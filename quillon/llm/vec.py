@@ -26,6 +26,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE_CODE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SECOND_CODE = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64)
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
@@ -94,11 +95,11 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever the span stands; second: another one."""
     power, inverse = _powers(len(buf) + 1)
     prefix = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE_CODE[buf] * power[:-1], out=prefix[1:])
+    np.cumsum((_SECOND_CODE if second else _BYTE_CODE)[buf] * power[:-1], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
