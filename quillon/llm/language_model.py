@@ -1,15 +1,18 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton of order three.
 
-States are the empty context and each context word (with the start of a text); an arc of a context's state is a training
-bigram, the arcs of the empty context are all words, and a context's failure arc leads to the empty context. Smoothing is
-interpolation: with c counts in training text, an arc of context h to w has the weight
-log10(L * c(h w) / c(h) + (1 - L) * p(w)), the failure arc log10(1 - L), and p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)).
-L is chosen for each class of contexts of like frequency, from a few values, by the leave-one-out likelihood of all
-training text. A text is scored by one traversal from left to right, starting in the start state.
+States are the empty context, each context word (with the start of a text), and each context of two words; a state has an arc
+for each word that follows it in training text, the empty one for all words, and a failure arc to the context without its
+first word. With c counts in training text and p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), the arc of the empty context has the
+weight log10 p(w), an arc of a context h to w the weight log10(L * c(h w) / c(h) + (1 - L) * p'(w)), where p' is what the
+shorter context gives, and the failure arc log10(1 - L). L is chosen for each order and each class of contexts of like
+frequency, from a few values, by the leave-one-out likelihood of all training text, order two first. A text is read once from
+left to right: the traversal carries its state, follows failure arcs until the state has an arc for the word, adds up the weights, and goes
+on in the arc's target, the longest context that the automaton has.
 
 The corpus never meets in one place and no model is sent to all workers. Texts are tokenised into blocks; a block asks
 for the counts of its own distinct words and bigrams, in packed arrays dealt by ranges of their hashes; a range adds up
-what all blocks tell it and answers each; a block then has the part of the automaton that its texts can reach. A range
+what all blocks tell it and answers each. A block then asks for trigrams: only for those whose two bigrams other blocks have too, since
+no other block can have the rest. With the answers it has the part of the automaton that its texts can reach. A range
 holds a bounded number of keys, since their number grows with the tokens, and a frequent n-gram comes once from a block.
 Keys are told apart by 48 bits of hash within their range.
 """
@@ -17,6 +20,7 @@ Keys are told apart by 48 bits of hash within their range.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import vec
 from quillon.llm.ranges import pack_keys, range_cuts, unpack_keys
-from quillon.llm.scratch import written
+from quillon.llm.scratch import forget, written
 
 U64 = np.uint64
 END = U64(0x3C6EF372FE94F82B)
@@ -36,23 +40,26 @@ BLOCK_BYTES = 3 << 20
 RANGE_TOKENS = 2_000_000
 LEVELS = np.array([0.02, 0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 0.95])
 CLASSES = 12
+SEGMENT = 256
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, vocabulary binary, tokens binary, n_tokens long"
 _ASKED = "kind int, part int, block long, keys binary, counts binary"
 _TOLD = "kind int, part int, block long, counts binary, known long, total long"
-_SCORED = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double, parts array<double>, left_out array<double>"
+_COUNTED = (
+    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n_words int, last int, words binary, bigrams binary, trigrams binary, "
+    "left_out array<double>, part int, keys binary, counts binary"
 )
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
     """Counts or ids, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     return zstandard.compress(planes.tobytes(), 1)
 
 
 def _expand(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,48 +86,73 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Block:
-    """A block's tokens and bigrams; keys are in ascending order of hash."""
+    """A block's tokens and n-grams. Words are in ascending order of hash, n-grams in that of their code, context * words + word: a
+    bigram's context is a word or, after the last, the start of a text; a trigram's is a bigram, and a text's first token has none."""
 
-    def __init__(self, held: np.ndarray, lengths: np.ndarray, vocabulary: bytes, tokens: bytes):
-        self.words = np.frombuffer(vocabulary, U64)
-        self.tokens = _expand(tokens).astype(np.int64)
-        self.lengths = lengths.astype(np.int64)
+    def __init__(self, held: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, n_words: int):
+        self.n, self.lengths = n_words, lengths.astype(np.int64)
+        self.tokens = tokens.astype(np.int64)
         self.text = np.repeat(np.arange(len(lengths)), self.lengths)
         self.train = np.repeat(~held, self.lengths)
-        n = len(self.words)
+        heads = np.cumsum(self.lengths) - self.lengths
         self.before = np.empty(len(self.tokens), np.int64)
         self.before[1:] = self.tokens[:-1]
-        self.before[np.cumsum(self.lengths) - self.lengths] = n
-        codes, inverse = np.unique(self.before * n + self.tokens, return_inverse=True)
-        first = np.append(vec.mix(self.words, 21), vec.mix(np.array([START]), 21))
-        hashes = vec.mix(first[codes // max(n, 1)] + self.words[codes % max(n, 1)], 22)
-        order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.bigrams, self.bigram = hashes[order], rank[inverse]
-
-    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, counts in training text) of words (0) or bigrams (1)."""
-        at, keys = (self.tokens, self.words) if kind == 0 else (self.bigram, self.bigrams)
-        return keys, np.bincount(at[self.train], minlength=len(keys))
+        self.before[heads] = n_words
+        self.bigrams, self.bigram = np.unique(self.before * n_words + self.tokens, return_inverse=True)
+        self.context = np.empty(len(self.tokens), np.int64)
+        self.context[1:] = self.bigram[:-1]
+        self.context[heads] = -1
+        self.inner = np.flatnonzero(self.context >= 0)
+        self.trigrams, at = np.unique(self.context[self.inner] * n_words + self.tokens[self.inner], return_inverse=True)
+        self.trigram = np.full(len(self.tokens), -1, np.int64)
+        self.trigram[self.inner] = at
+
+    @classmethod
+    def of(cls, r: dict) -> Block:
+        return cls(np.array(r["held"], bool), np.array(r["lengths"]), _expand(r["tokens"]), r["n_words"])
+
+    def own(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Counts in the block's training text."""
+        return np.bincount(at[self.train & (at >= 0)], minlength=size)
+
+    def hashes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the bigrams and the trigrams, in the order of their codes."""
+        n = max(self.n, 1)
+        first = np.append(vec.mix(words, 21), vec.mix(np.array([START]), 21))
+        two = vec.mix(first[self.bigrams // n] + words[self.bigrams % n], 22)
+        return two, vec.mix(vec.mix(two, 23)[self.trigrams // n] + words[self.trigrams % n], 24)
+
+
+def _packets(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(kind, part, packed keys, packed counts) of each range; answers come back in the order of the keys' hashes."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    cuts = range_cuts(keys, parts)
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[part], cuts[part + 1]
+        yield kind, part, pack_keys(keys[a:b], part, parts), _squeeze(counts[a:b])
+
+
+def _answered(told: list[tuple], keys: np.ndarray) -> np.ndarray:
+    """The answers (see _told) to the keys, of (part, answers) to _packets of them."""
+    out = np.zeros(len(keys), np.int64)
+    if told:
+        out[np.argsort(keys, kind="stable")] = np.concatenate([_expand(c) for _, c in sorted(told, key=lambda x: x[0])])
+    return out
 
 
 def _asked(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                block = Block(np.array(r["held"], bool), np.array(r["lengths"]), r["vocabulary"], r["tokens"])
-                out: list[tuple] = []
-                for kind in (0, 1):
-                    keys, counts = block.keys(kind)
-                    cuts = range_cuts(keys, parts)
-                    for part in np.flatnonzero(np.diff(cuts)).tolist():
-                        a, b = cuts[part], cuts[part + 1]
-                        out.append((kind, part, r["block"], pack_keys(keys[a:b], part, parts), _squeeze(counts[a:b])))
+                words = np.frombuffer(r["vocabulary"], U64)
+                block = Block.of(r | {"n_words": len(words)})
+                two, _ = block.hashes(words)
+                out = [*_packets(0, words, block.own(block.tokens, len(words)), parts), *_packets(1, two, block.own(block.bigram, len(two)), parts)]
                 if out:
-                    kind, part, own, keys, counts = map(list, zip(*out, strict=True))
+                    kind, part, keys, counts = map(list, zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                        [pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array([r["block"]] * len(out), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
                         ["kind", "part", "block", "keys", "counts"],
                     )
 
@@ -128,7 +160,7 @@ def _asked(parts: int):
 
 
 def _told(table: pa.Table) -> pa.Table:
-    """Adds up a range's counts over all blocks and answers each block in the order that it asked."""
+    """Adds up a range's counts over all blocks and answers each block in the order that it asked: twice the sum, and one if another block has the key."""
     keys = [unpack_keys(x.as_py()) for x in table["keys"]]
     counts = np.concatenate([_expand(x.as_py()) for x in table["counts"]]).astype(np.int64)
     size = np.array([len(k) for k in keys])
@@ -136,9 +168,11 @@ def _told(table: pa.Table) -> pa.Table:
     order = np.argsort(every, kind="stable")
     new = np.ones(len(every), bool)
     new[1:] = every[order][1:] != every[order][:-1]
-    total = np.add.reduceat(counts[order], np.flatnonzero(new))
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order], first)
+    answer = 2 * total + (np.diff(np.r_[first, len(every)]) > 1)
     back = np.empty(len(every), np.int64)
-    back[order] = total[np.cumsum(new) - 1]
+    back[order] = answer[np.cumsum(new) - 1]
     ends = np.cumsum(size)
     answers = [_squeeze(back[e - n : e]) for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
     kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
@@ -155,87 +189,229 @@ def _told(table: pa.Table) -> pa.Table:
     )
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Training tokens, distinct ones, and L for each class of contexts of one and of two words."""
+
+    tokens: int
+    known: int
+    one: np.ndarray | None = None
+    two: np.ndarray | None = None
+
+    def word(self, count: np.ndarray, less: int = 0) -> np.ndarray:
+        return (count - less + 0.5) / (self.tokens - less + 0.5 * (self.known + 1))
+
+
+def class_of(count: np.ndarray) -> np.ndarray:
+    return np.minimum(CLASSES - 1, np.log2(np.maximum(count, 1)) // 2).astype(np.int64)
+
+
+def _contexts(words: np.ndarray, last: int) -> np.ndarray:
+    """How often each word, and the start of a text, is a context: the start is as frequent as the end, which is none."""
+    out = np.append(words, words[last] if last >= 0 else 0)
+    if last >= 0:
+        out[last] = 0
+    return out
+
+
+def _left_out_words(b: Block, words: np.ndarray, bigrams: np.ndarray, last: int, totals: Totals) -> np.ndarray:
+    """[class, level] log10 likelihood of the training tokens by contexts of one word, each left out of the counts."""
+    context = _contexts(words, last)[b.before]
+    at = np.flatnonzero(b.train & (context > 1))
+    share, p = (bigrams[b.bigram[at]] - 1) / (context[at] - 1), totals.word(words[b.tokens[at]], 1)
+    return np.stack([np.bincount(class_of(context[at]), np.log10(v * share + (1 - v) * p), CLASSES) for v in LEVELS], axis=1).astype(float)
+
+
+def _left_out_pairs(b: Block, words: np.ndarray, bigrams: np.ndarray, trigrams: np.ndarray, last: int, totals: Totals) -> np.ndarray:
+    """The same by contexts of two words, over what contexts of one word give with the L chosen for them."""
+    context = np.where(b.context >= 0, bigrams[b.context], 0)
+    at = np.flatnonzero(b.train & (context > 1))
+    one = _contexts(words, last)[b.before[at]]
+    share = (trigrams[b.trigram[at]] - 1) / (context[at] - 1)
+    v1 = totals.one[class_of(one)]
+    p = v1 * (bigrams[b.bigram[at]] - 1) / (one - 1) + (1 - v1) * totals.word(words[b.tokens[at]], 1)
+    return np.stack([np.bincount(class_of(context[at]), np.log10(v * share + (1 - v) * p), CLASSES) for v in LEVELS], axis=1).astype(float)
+
+
 class BackoffAutomaton:
-    """The part of the automaton that a block's texts can reach, at each of LEVELS side by side."""
-
-    def __init__(self, block: Block, words: np.ndarray, bigrams: np.ndarray, n_train: int, n_known: int):
-        self.block, self.words, self.bigrams, self.n_train = block, words, bigrams, n_train
-        self.smooth = 0.5 * (n_known + 1)
-        end = np.searchsorted(block.words, END)
-        texts = words[end] if end < len(words) else 0
-        self.contexts = np.append(words, texts)  # the start of a text is as frequent as its end
-
-    def word_probability(self, counts: np.ndarray, less: int = 0) -> np.ndarray:
-        return (counts - less + 0.5) / (self.n_train - less + self.smooth)
-
-    def traverse(self) -> tuple[np.ndarray, ...]:
-        """(base log-probability of each token, whether it is known, its context's class or -1, arc share, word probability).
-
-        The state before a token is its context. Its arc, if the context has it, has the share c(h w) / c(h); without,
-        the share is 0 and the failure arc and the word's arc give (1 - L) * p(w). A context that training text lacks
-        fails for nothing.
-        """
-        b = self.block
-        count, arc, context = self.words[b.tokens], self.bigrams[b.bigram], self.contexts[b.before]
-        p = self.word_probability(count)
-        share = arc / np.maximum(context, 1)
-        kind = np.where(context > 0, np.minimum(CLASSES - 1, np.log2(np.maximum(context, 1)) // 2), -1).astype(np.int64)
-        return p, count > 0, kind, share
-
-    def left_out(self) -> np.ndarray:
-        """[class, level] log10 likelihood of the training tokens, each left out of the counts."""
-        b = self.block
-        context = self.contexts[b.before]
-        at = np.flatnonzero(b.train & (context > 1))
-        context = context[at]
-        share = (self.bigrams[b.bigram[at]] - 1) / (context - 1)
-        p = self.word_probability(self.words[b.tokens[at]], 1)
-        kind = np.minimum(CLASSES - 1, np.log2(context) // 2).astype(np.int64)
-        return np.stack([np.bincount(kind, np.log10(v * share + (1 - v) * p), CLASSES) for v in LEVELS], axis=1).astype(float)
-
-
-def _scored(n_train: int, n_known: int):
+    """The part of the automaton that a block's texts can reach.
+
+    States: 0 the empty context, 1 + v the word v (v = n: the start of a text), 2 + n + j the bigram j; those without a count in
+    training text don't exist. fails, fail_weight: the failure arc of each state. Arcs lie by order: of the empty state a weight
+    and a target for each word, of words and bigrams codes in ascending order with a weight and a target each.
+    """
+
+    def __init__(self, b: Block, words: np.ndarray, bigrams: np.ndarray, trigrams: np.ndarray, last: int, totals: Totals):
+        n, self.n, self.base = b.n, b.n, b.n + 2
+        contexts = _contexts(words, last)
+        ends = b.bigrams % max(n, 1) == last
+        self.exists = np.concatenate([[True], contexts > 0, (bigrams > 0) & ~ends])
+        one, two = totals.one[class_of(contexts)], totals.two[class_of(bigrams)]
+        self.fails = np.concatenate([np.zeros(n + 2, np.int64), 1 + b.bigrams % max(n, 1)])
+        self.fail_weight = np.concatenate([[0.0], np.log10(1 - one), np.log10(1 - two)])
+        p = totals.word(words)
+        self.weight0, self.target0 = np.log10(p), np.where(contexts[:n] > 0, 1 + np.arange(n), 0)
+        has = np.flatnonzero(bigrams > 0)
+        v, w = b.bigrams[has] // max(n, 1), b.bigrams[has] % max(n, 1)
+        p2 = np.zeros(len(bigrams))
+        p2[has] = one[v] * bigrams[has] / contexts[v] + (1 - one[v]) * p[w]
+        self.codes1, self.weight1, self.target1 = b.bigrams[has], np.log10(p2[has]), self._reached(self.base + has, w)
+        has = np.flatnonzero(trigrams > 0)
+        j, w = b.trigrams[has] // max(n, 1), b.trigrams[has] % max(n, 1)
+        pair = np.searchsorted(b.bigrams, b.bigrams[j] % max(n, 1) * n + w)
+        p3 = two[j] * trigrams[has] / bigrams[j] + (1 - two[j]) * p2[pair]
+        self.codes2, self.weight2, self.target2 = b.trigrams[has], np.log10(p3), self._reached(self.base + pair, w)
+
+    def _reached(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The longest context that exists of those that end a two-word state."""
+        return np.where(self.exists[state], state, np.where(self.exists[1 + word], 1 + word, 0))
+
+    def start(self, b: Block, at: np.ndarray) -> np.ndarray:
+        """The state before the tokens at these places."""
+        j, v = b.context[at], b.before[at]
+        two = self.base + np.maximum(j, 0)
+        return np.where((j >= 0) & self.exists[np.minimum(two, len(self.exists) - 1)], two, np.where(self.exists[1 + v], 1 + v, 0))
+
+    @staticmethod
+    def _arc(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+        return at, (codes[at] == code) if len(codes) else np.zeros(len(code), bool)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, weight of the way to it) of states that read a word each."""
+        state, out, target = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_ = np.ones(len(state), bool)
+        for low, codes, weight, to in ((self.base, self.codes2, self.weight2, self.target2), (1, self.codes1, self.weight1, self.target1)):
+            here = np.flatnonzero(open_ & (state >= low))
+            at, hit = self._arc(codes, (state[here] - low) * self.n + word[here])
+            took, at = here[hit], at[hit]
+            out[took] += weight[at]
+            target[took], open_[took] = to[at], False
+            lost = here[~hit]
+            out[lost] += self.fail_weight[state[lost]]
+            state[lost] = self.fails[state[lost]]
+        rest = np.flatnonzero(open_)
+        out[rest] += self.weight0[word[rest]]
+        target[rest] = self.target0[word[rest]]
+        return target, out
+
+    def traverse(self, b: Block) -> np.ndarray:
+        """The log10 probability of each text. Texts are read side by side, long ones in segments of SEGMENT tokens, each from
+        the state that the two tokens before it lead to."""
+        counts = -(-b.lengths // SEGMENT)
+        text = np.repeat(np.arange(len(b.lengths)), counts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = np.repeat(np.cumsum(b.lengths) - b.lengths, counts) + number * SEGMENT
+        length = np.minimum(SEGMENT, np.repeat(b.lengths, counts) - number * SEGMENT)
+        order = np.argsort(-length, kind="stable")
+        first, length, text = first[order], length[order], text[order]
+        most = int(length[0]) if len(length) else 0
+        active = np.searchsorted(-length, -np.arange(most), "left")
+        state, total = self.start(b, first), np.zeros(len(first))
+        for t in range(most):
+            n = active[t]
+            state[:n], weight = self.step(state[:n], b.tokens[first[:n] + t])
+            total[:n] += weight
+        return np.bincount(text, total, len(b.lengths)).astype(float)
+
+
+def _row(r: dict, **more) -> pa.Table:
+    names = [f.split() for f in _COUNTED.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    r = r | more
+    return pa.table({name: pa.array([r.get(name)], kinds[kind]) for name, kind in names})
+
+
+def _told_by_kind(told: pa.Table) -> dict[int, list[tuple]]:
+    out: dict[int, list[tuple]] = {0: [], 1: [], 2: []}
+    for kind, part, counts in zip(told["kind"].to_pylist(), told["part"].to_pylist(), told["counts"], strict=True):
+        out[kind].append((part, counts.as_py()))
+    return out
+
+
+def _with_bigrams(totals: Totals, parts: int):
+    """A block with the counts of its words and bigrams, and rows that ask for trigrams."""
+
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        for i in range(own.num_rows):
-            held = np.array(own["held"][i].as_py(), bool)
-            lengths = np.array(own["lengths"][i].as_py())
-            block = Block(held, lengths, own["vocabulary"][i].as_py(), own["tokens"][i].as_py())
-            answers: dict[int, list] = {0: [], 1: []}
-            for kind, part, counts in zip(told["kind"].to_pylist(), told["part"].to_pylist(), told["counts"], strict=True):
-                answers[kind].append((part, counts))
-            words, bigrams = (
-                np.concatenate([_expand(c.as_py()) for _, c in sorted(answers[k], key=lambda x: x[0])]).astype(np.int64) for k in (0, 1)
-            )
-            automaton = BackoffAutomaton(block, words, bigrams, n_train, n_known)
-            p, known, kind, share = automaton.traverse()
-            n = len(lengths)
-            lone = kind < 0
-            log_p = np.log10(p)
-            slot = (block.text * CLASSES + kind)[~lone]
-            parts = np.stack(
-                [np.bincount(slot, np.log10(v * share[~lone] + (1 - v) * p[~lone]), n * CLASSES) for v in LEVELS], axis=1
-            ).reshape(n, -1).astype(float)
-            left = automaton.left_out().reshape(-1)
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": own["doc_ids"].combine_chunks().slice(i, 1).flatten(),
-                        "held_out": pa.array(held),
-                        "n_tokens": pa.array(lengths.astype(np.int64)),
-                        "n_known": pa.array(np.bincount(block.text, known, n).astype(np.int64)),
-                        "base_score": pa.array(np.bincount(block.text, log_p, n).astype(float)),
-                        "rest": pa.array(np.bincount(block.text[lone], log_p[lone], n).astype(float)),
-                        "parts": pa.array(list(parts), pa.list_(pa.float64())),
-                        "left_out": pa.array([left] + [None] * (n - 1), pa.list_(pa.float64())),
-                    }
-                )
-            )
+        out, answers = [], _told_by_kind(told)
+        for r in own.to_pylist():
+            vocabulary = np.frombuffer(r["vocabulary"], U64)
+            b = Block.of(r | {"n_words": len(vocabulary)})
+            two, three = b.hashes(vocabulary)
+            words, pairs = _answered(answers[0], vocabulary) >> 1, _answered(answers[1], two)
+            bigrams = pairs >> 1
+            end = int(np.searchsorted(vocabulary, END))
+            last = end if end < len(vocabulary) and vocabulary[end] == END else -1
+            left = _left_out_words(b, words, bigrams, last, totals).reshape(-1)
+            out.append(_row(r, n_words=len(vocabulary), last=last, words=_squeeze(words), bigrams=_squeeze(pairs), left_out=left))
+            open_ = _open_trigrams(b, pairs)
+            for _, part, keys, counts in _packets(2, three[open_], b.own(b.trigram, len(three))[open_], parts):
+                out.append(_row({"block": r["block"]}, part=part, keys=keys, counts=counts))
+            # The hashes that tell answers apart, in the order of the codes.
+            out.append(_row({"block": r["block"]}, keys=np.argsort(np.argsort(three[open_], kind="stable")).astype("<u4").tobytes()))
         return pa.concat_tables(out)
 
     return run
 
 
+def _open_trigrams(b: Block, pairs: np.ndarray) -> np.ndarray:
+    """The trigrams that other blocks may have: those both of whose bigrams (with their answers `pairs`) others have."""
+    n = max(b.n, 1)
+    context = b.trigrams // n
+    pair = np.searchsorted(b.bigrams, b.bigrams[context] % n * n + b.trigrams % n)
+    return np.flatnonzero(pairs[context] & pairs[pair] & 1)
+
+
+def _with_trigrams(totals: Totals):
+    """A block with the counts of its trigrams too."""
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        rows, answers, out = own.to_pylist(), _told_by_kind(told), []
+        rank = next(np.frombuffer(r["keys"], "<u4").astype(np.int64) for r in rows if r["tokens"] is None)
+        for r in rows:
+            if r["tokens"] is None:
+                continue
+            b, words, pairs = Block.of(r), _expand(r["words"]), _expand(r["bigrams"])
+            trigrams = b.own(b.trigram, len(b.trigrams))
+            if len(rank):
+                trigrams[_open_trigrams(b, pairs)] = (np.concatenate([_expand(c) for _, c in sorted(answers[2], key=lambda x: x[0])]) >> 1)[rank]
+            left = _left_out_pairs(b, words, pairs >> 1, trigrams, r["last"], totals).reshape(-1)
+            out.append(_row(r, trigrams=_squeeze(trigrams), left_out=left))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _scored(totals: Totals):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = Block.of(r)
+                words, pairs, trigrams = (_expand(r[c]) for c in ("words", "bigrams", "trigrams"))
+                automaton = BackoffAutomaton(b, words, pairs >> 1, trigrams, r["last"], totals)
+                count, n = words[b.tokens], len(b.lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(r["doc_ids"], pa.int64()),
+                        pa.array(r["held"], pa.bool_()),
+                        pa.array(b.lengths),
+                        pa.array(np.bincount(b.text, count > 0, n).astype(np.int64)),
+                        pa.array(np.bincount(b.text, np.log10(totals.word(count)), n).astype(float)),
+                        pa.array(automaton.traverse(b)),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                )
+
+    return run
+
+
+def _chosen(blocks: DataFrame) -> np.ndarray:
+    """L of each class: the level of the greatest likelihood; the second level for a class that training text lacks."""
+    sums = {r[0]: r[1] for r in blocks.select(F.posexplode("left_out")).groupBy("pos").agg(F.sum("col")).collect()}
+    grid = np.array([sums.get(i, 0.0) for i in range(CLASSES * len(LEVELS))]).reshape(CLASSES, len(LEVELS))
+    return np.array([LEVELS[int(np.argmax(g))] if g.any() else LEVELS[1] for g in grid])
+
+
 def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs`.
 
@@ -244,24 +420,23 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "d
     the log10 probability by words alone; score: by the automaton. A null or empty text is one end. Rows with a null
     id are training text. Without training text every word's probability is that of an unseen word.
     """
-    spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = written(rows.mapInArrow(_tokenised, _BLOCKS), "lm-blocks")
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-tokens // RANGE_TOKENS))
-    asked = blocks.mapInArrow(_asked(parts), _ASKED)
-    told = written(asked.groupBy("kind", "part").applyInArrow(_told, _TOLD), "lm-counts")
+    told = written(blocks.mapInArrow(_asked(parts), _ASKED).groupBy("kind", "part").applyInArrow(_told, _TOLD), "lm-counts")
     known, total = told.where("kind = 0 and block is null").agg(F.sum("known"), F.sum("total")).first()
+    totals = Totals(total or 0, known or 0)
     answers = told.where("block is not null").select("kind", "part", "block", "counts")
-    scored = written(
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(total or 0, known or 0), _SCORED), "lm-scores"
-    )
-    sums = {r[0]: r[1] for r in scored.select(F.posexplode("left_out")).groupBy("pos").agg(F.sum("col")).collect()}
-    levels = len(LEVELS)
-    grid = np.array([sums.get(i, 0.0) for i in range(CLASSES * levels)]).reshape(CLASSES, levels)
-    chosen = [int(np.argmax(g)) if g.any() else 1 for g in grid]
-    score = sum((F.element_at("parts", k * levels + j + 1) for k, j in enumerate(chosen)), F.col("rest"))
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", score.alias("score")
-    )
+    counted = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_bigrams(totals, parts), _COUNTED), "lm-bigrams")
+    forget(blocks, told)
+    totals = replace(totals, one=_chosen(counted))
+    asked = counted.where("part is not null").select(F.lit(2).alias("kind"), "part", "block", "keys", "counts")
+    answers = asked.groupBy("kind", "part").applyInArrow(_told, _TOLD).where("block is not null").select("kind", "part", "block", "counts")
+    own = counted.where("part is null")
+    automata = written(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_trigrams(totals), _COUNTED), "lm-trigrams")
+    forget(counted)
+    totals = replace(totals, two=_chosen(automata))
+    scored = automata.mapInArrow(_scored(totals), _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -412,26 +412,79 @@ def test_language_model_counts(docs, rows, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    """From each state the probabilities of all words, and of the unseen one, add up to 1; scores are the chain's."""
-    rng = np.random.default_rng(0)
-    vocabulary = np.sort(np.append(rng.integers(1, 1 << 62, 6, dtype=np.uint64), language_model.END))
-    end = int(np.searchsorted(vocabulary, language_model.END))
-    stream = np.array([0, 1, 1, 2, end, 3, 1, 1, end, 4, end])
-    lengths = np.array([5, 4, 2])
-    block = language_model.Block(np.array([False, False, True]), lengths, vocabulary.tobytes(), language_model._squeeze(stream))
-    uni, bi = block.keys(0)[1], block.keys(1)[1]
-    known = int((uni > 0).sum())
-    auto = language_model.BackoffAutomaton(block, uni, bi, int(uni.sum()), known)
-    p = auto.word_probability(uni)
-    assert p.sum() - (uni == 0).sum() * auto.word_probability(np.array([0]))[0] + auto.word_probability(np.array([0]))[0] == pytest.approx(1)
-    _, _, kind, share = auto.traverse()
-    context = {}
-    for before, s, code in zip(block.before, share, block.bigram, strict=True):
-        context.setdefault(before, {})[code] = s
-    trained = {b: sum(arcs.values()) for b, arcs in context.items()}
-    assert trained[1] == pytest.approx(1) and trained[7] == pytest.approx(1)
-    assert (kind[:9] >= 0).all()
+def reference_scores(texts, held):
+    """The log10 probability of each text by the interpolated model of order three, from plain counts, and its L by context."""
+    start, end = "<s>", "</s>"
+    seqs = [[start, *words(low(t)), end] for t in texts]
+    train = [q for q, h in zip(seqs, held, strict=True) if not h]
+    c1 = Counter(w for q in train for w in q[1:])
+    ctx = Counter(w for q in train for w in q[:-1])
+    c2 = Counter(x for q in train for x in zip(q, q[1:], strict=False))
+    c3 = Counter(x for q in train for x in zip(q, q[1:], q[2:], strict=False))
+    n, v = sum(c1.values()), len(c1)
+    kind = lambda c: min(language_model.CLASSES - 1, int(np.log2(c) // 2))
+    p1 = lambda w, less=0: (c1[w] - less + 0.5) / (n - less + 0.5 * (v + 1))
+
+    def best(sums):
+        return {k: float(language_model.LEVELS[int(np.argmax(x))]) for k, x in sums.items()}
+
+    sums = {}
+    for q in train:
+        for a, w in zip(q, q[1:], strict=False):
+            if ctx[a] > 1:
+                sums.setdefault(kind(ctx[a]), 0)
+                sums[kind(ctx[a])] = sums[kind(ctx[a])] + np.log10(language_model.LEVELS * (c2[a, w] - 1) / (ctx[a] - 1) + (1 - language_model.LEVELS) * p1(w, 1))
+    one, sums = best(sums), {}
+    for q in train:
+        for a, b, w in zip(q, q[1:], q[2:], strict=False):
+            if c2[a, b] > 1:
+                l1 = one[kind(ctx[b])]
+                p = l1 * (c2[b, w] - 1) / (ctx[b] - 1) + (1 - l1) * p1(w, 1)
+                k = kind(c2[a, b])
+                sums[k] = sums.get(k, 0) + np.log10(language_model.LEVELS * (c3[a, b, w] - 1) / (c2[a, b] - 1) + (1 - language_model.LEVELS) * p)
+    two, other = best(sums), float(language_model.LEVELS[1])
+
+    def p2(a, w):
+        if not ctx[a]:
+            return p1(w)
+        l1 = one.get(kind(ctx[a]), other)
+        return l1 * c2[a, w] / ctx[a] + (1 - l1) * p1(w)
+
+    def p3(a, b, w):
+        if a is None or not c2[a, b]:
+            return p2(b, w)
+        l2 = two.get(kind(c2[a, b]), other)
+        return l2 * c3[a, b, w] / c2[a, b] + (1 - l2) * p2(b, w)
+
+    return [sum(np.log10(p3(q[i - 2] if i > 1 else None, q[i - 1], q[i])) for i in range(1, len(q))) for q in seqs]
+
+
+def test_scores_are_those_of_the_backoff_model(spark, monkeypatch):
+    """Against plain counts, over several blocks and ranges, and with texts of several segments."""
+    rng = random.Random(21)
+    lexicon = [made_text(rng, 1) for _ in range(40)]
+    phrases = [" ".join(rng.choice(lexicon) for _ in range(5)) for _ in range(30)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.6 else rng.choice(lexicon) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    texts += ["", "wholly new words here", " ".join(rng.choice(phrases) for _ in range(400)), texts[3], texts[3]]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    monkeypatch.setattr(language_model, "RANGE_TOKENS", 900)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in language_model.score_texts(df).collect()}
+    for i, want in enumerate(reference_scores(texts, held)):
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_automaton_is_a_distribution():
+    """From each state the probabilities of all words, and of the unseen one, add up to 1."""
+    stream = np.array([0, 1, 1, 2, 6, 3, 1, 1, 6, 0, 1, 4, 6, 5, 6])
+    b = language_model.Block(np.array([False, False, False, True]), np.array([5, 4, 4, 2]), stream, 7)
+    uni, bi, tri = b.own(b.tokens, 7), b.own(b.bigram, len(b.bigrams)), b.own(b.trigram, len(b.trigrams))
+    totals = language_model.Totals(int(uni.sum()), int((uni > 0).sum()), np.full(language_model.CLASSES, 0.4), np.full(language_model.CLASSES, 0.7))
+    automaton = language_model.BackoffAutomaton(b, uni, bi, tri, 6, totals)
+    assert (uni == 0).sum() == 1  # the one that stands for all unseen words
+    for state in np.flatnonzero(automaton.exists):
+        _, weight = automaton.step(np.full(7, state), np.arange(7))
+        assert (10.0**weight).sum() == pytest.approx(1)
 
 
 def test_language_model_gains_from_context(spark):
