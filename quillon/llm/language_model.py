@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import vec
 from quillon.llm.ranges import pack_keys, range_cuts, unpack_keys
-from quillon.llm.scratch import forget, written
+from quillon.llm.scratch import forget, release, written
 
 U64 = np.uint64
 END = U64(0x3C6EF372FE94F82B)
@@ -102,10 +103,23 @@ class Block:
         self.context = np.empty(len(self.tokens), np.int64)
         self.context[1:] = self.bigram[:-1]
         self.context[heads] = -1
-        self.inner = np.flatnonzero(self.context >= 0)
-        self.trigrams, at = np.unique(self.context[self.inner] * n_words + self.tokens[self.inner], return_inverse=True)
-        self.trigram = np.full(len(self.tokens), -1, np.int64)
-        self.trigram[self.inner] = at
+
+    @cached_property
+    def _trigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        inner = np.flatnonzero(self.context >= 0)
+        codes, at = np.unique(self.context[inner] * self.n + self.tokens[inner], return_inverse=True)
+        each = np.full(len(self.tokens), -1, np.int64)
+        each[inner] = at
+        return codes, each
+
+    @property
+    def trigrams(self) -> np.ndarray:
+        return self._trigrams[0]
+
+    @property
+    def trigram(self) -> np.ndarray:
+        """The trigram of each token, -1 for a text's first."""
+        return self._trigrams[1]
 
     @classmethod
     def of(cls, r: dict) -> Block:
@@ -115,12 +129,15 @@ class Block:
         """Counts in the block's training text."""
         return np.bincount(at[self.train & (at >= 0)], minlength=size)
 
-    def hashes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the bigrams and the trigrams, in the order of their codes."""
+    def hashes(self, words: np.ndarray) -> np.ndarray:
+        """Hashes of the bigrams, in the order of their codes."""
         n = max(self.n, 1)
         first = np.append(vec.mix(words, 21), vec.mix(np.array([START]), 21))
-        two = vec.mix(first[self.bigrams // n] + words[self.bigrams % n], 22)
-        return two, vec.mix(vec.mix(two, 23)[self.trigrams // n] + words[self.trigrams % n], 24)
+        return vec.mix(first[self.bigrams // n] + words[self.bigrams % n], 22)
+
+    def trigram_hashes(self, two: np.ndarray, words: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Hashes of some of the trigrams, by those of the bigrams."""
+        return vec.mix(vec.mix(two, 23)[self.trigrams[some] // max(self.n, 1)] + words[self.trigrams[some] % max(self.n, 1)], 24)
 
 
 def _packets(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple]:
@@ -147,7 +164,7 @@ def _asked(parts: int):
             for r in batch.to_pylist():
                 words = np.frombuffer(r["vocabulary"], U64)
                 block = Block.of(r | {"n_words": len(words)})
-                two, _ = block.hashes(words)
+                two = block.hashes(words)
                 out = [*_packets(0, words, block.own(block.tokens, len(words)), parts), *_packets(1, two, block.own(block.bigram, len(two)), parts)]
                 if out:
                     kind, part, keys, counts = map(list, zip(*out, strict=True))
@@ -337,7 +354,7 @@ def _with_bigrams(totals: Totals, parts: int):
         for r in own.to_pylist():
             vocabulary = np.frombuffer(r["vocabulary"], U64)
             b = Block.of(r | {"n_words": len(vocabulary)})
-            two, three = b.hashes(vocabulary)
+            two = b.hashes(vocabulary)
             words, pairs = _answered(answers[0], vocabulary) >> 1, _answered(answers[1], two)
             bigrams = pairs >> 1
             end = int(np.searchsorted(vocabulary, END))
@@ -345,10 +362,11 @@ def _with_bigrams(totals: Totals, parts: int):
             left = _left_out_words(b, words, bigrams, last, totals).reshape(-1)
             out.append(_row(r, n_words=len(vocabulary), last=last, words=_squeeze(words), bigrams=_squeeze(pairs), left_out=left))
             open_ = _open_trigrams(b, pairs)
-            for _, part, keys, counts in _packets(2, three[open_], b.own(b.trigram, len(three))[open_], parts):
+            three = b.trigram_hashes(two, vocabulary, open_)
+            for _, part, keys, counts in _packets(2, three, b.own(b.trigram, len(b.trigrams))[open_], parts):
                 out.append(_row({"block": r["block"]}, part=part, keys=keys, counts=counts))
             # The hashes that tell answers apart, in the order of the codes.
-            out.append(_row({"block": r["block"]}, keys=np.argsort(np.argsort(three[open_], kind="stable")).astype("<u4").tobytes()))
+            out.append(_row({"block": r["block"]}, keys=_squeeze(np.argsort(np.argsort(three, kind="stable")))))
         return pa.concat_tables(out)
 
     return run
@@ -367,7 +385,7 @@ def _with_trigrams(totals: Totals):
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         rows, answers, out = own.to_pylist(), _told_by_kind(told), []
-        rank = next(np.frombuffer(r["keys"], "<u4").astype(np.int64) for r in rows if r["tokens"] is None)
+        rank = next(_expand(r["keys"]) for r in rows if r["tokens"] is None)
         for r in rows:
             if r["tokens"] is None:
                 continue
@@ -426,17 +444,22 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "d
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-tokens // RANGE_TOKENS))
     told = written(blocks.mapInArrow(_asked(parts), _ASKED).groupBy("kind", "part").applyInArrow(_told, _TOLD), "lm-counts")
+    release(docs.sparkSession)
     known, total = told.where("kind = 0 and block is null").agg(F.sum("known"), F.sum("total")).first()
     totals = Totals(total or 0, known or 0)
     answers = told.where("block is not null").select("kind", "part", "block", "counts")
     counted = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_bigrams(totals, parts), _COUNTED), "lm-bigrams")
+    del answers
     forget(blocks, told)
+    release(docs.sparkSession)
     totals = replace(totals, one=_chosen(counted))
     asked = counted.where("part is not null").select(F.lit(2).alias("kind"), "part", "block", "keys", "counts")
     answers = asked.groupBy("kind", "part").applyInArrow(_told, _TOLD).where("block is not null").select("kind", "part", "block", "counts")
     own = counted.where("part is null")
     automata = written(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_trigrams(totals), _COUNTED), "lm-trigrams")
     forget(counted)
+    del asked, answers, own
+    release(docs.sparkSession)
     totals = replace(totals, two=_chosen(automata))
     scored = automata.mapInArrow(_scored(totals), _SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

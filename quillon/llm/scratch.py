@@ -7,6 +7,7 @@ made of them is written; those that a returned DataFrame still reads stay until
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ def forget(*tables: DataFrame) -> None:
             _deleted(table.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, rather than when the driver's memory next runs full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that this process wrote and that are still there; results that read them can't be read again."""
     for path in list(_ours):
