@@ -63,6 +63,11 @@ def _expand(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
+def _vocabulary(raw: bytes) -> np.ndarray:
+    """Ascending hashes, of their differences."""
+    return np.cumsum(_expand(raw).view(U64), dtype=U64)
+
+
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, seq = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
@@ -77,7 +82,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), batch.column(0).slice(row, end - row)),
                     pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), batch.column(1).slice(row, end - row)),
                     pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), pa.array((np.diff(bounds) + 1).astype(np.int32))),
-                    pa.array([vocabulary.tobytes()], pa.binary()),
+                    pa.array([_squeeze(np.diff(vocabulary, prepend=U64(0)))], pa.binary()),
                     pa.array([_squeeze(tokens)], pa.binary()),
                     pa.array([len(tokens)], pa.int64()),
                 ],
@@ -162,7 +167,7 @@ def _asked(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words = np.frombuffer(r["vocabulary"], U64)
+                words = _vocabulary(r["vocabulary"])
                 block = Block.of(r | {"n_words": len(words)})
                 two = block.hashes(words)
                 out = [*_packets(0, words, block.own(block.tokens, len(words)), parts), *_packets(1, two, block.own(block.bigram, len(two)), parts)]
@@ -352,7 +357,7 @@ def _with_bigrams(totals: Totals, parts: int):
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         out, answers = [], _told_by_kind(told)
         for r in own.to_pylist():
-            vocabulary = np.frombuffer(r["vocabulary"], U64)
+            vocabulary = _vocabulary(r["vocabulary"])
             b = Block.of(r | {"n_words": len(vocabulary)})
             two = b.hashes(vocabulary)
             words, pairs = _answered(answers[0], vocabulary) >> 1, _answered(answers[1], two)
@@ -444,20 +449,22 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "d
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-tokens // RANGE_TOKENS))
     told = written(blocks.mapInArrow(_asked(parts), _ASKED).groupBy("kind", "part").applyInArrow(_told, _TOLD), "lm-counts")
-    release(docs.sparkSession)
     known, total = told.where("kind = 0 and block is null").agg(F.sum("known"), F.sum("total")).first()
+    release(docs.sparkSession)
     totals = Totals(total or 0, known or 0)
     answers = told.where("block is not null").select("kind", "part", "block", "counts")
     counted = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_bigrams(totals, parts), _COUNTED), "lm-bigrams")
     del answers
     forget(blocks, told)
-    release(docs.sparkSession)
     totals = replace(totals, one=_chosen(counted))
+    release(docs.sparkSession)
     asked = counted.where("part is not null").select(F.lit(2).alias("kind"), "part", "block", "keys", "counts")
-    answers = asked.groupBy("kind", "part").applyInArrow(_told, _TOLD).where("block is not null").select("kind", "part", "block", "counts")
+    told = written(asked.groupBy("kind", "part").applyInArrow(_told, _TOLD), "lm-trigram-counts")
+    release(docs.sparkSession)
+    answers = told.where("block is not null").select("kind", "part", "block", "counts")
     own = counted.where("part is null")
     automata = written(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_trigrams(totals), _COUNTED), "lm-trigrams")
-    forget(counted)
+    forget(counted, told)
     del asked, answers, own
     release(docs.sparkSession)
     totals = replace(totals, two=_chosen(automata))

@@ -58,8 +58,9 @@ def forget(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now, rather than when the driver's memory next runs full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees on the Python side, the second frees in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
