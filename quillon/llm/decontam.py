@@ -52,16 +52,36 @@ def gram_keys(b: np.ndarray) -> np.ndarray:
     return (word[:n] ^ (word[4 : n + 4] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD1B54A32D192ED03)
 
 
-def _alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """(edits, end in region) of the best alignment of the whole item within the region, which is as wide as the band."""
-    steps = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
-    for ch in item:
-        best = row + 1
-        best[1:] = np.minimum(best[1:], row[:-1] + (region != ch))
+FAR = 1 << 40
+
+
+def _alignment(item: np.ndarray, region: np.ndarray, shift: int | None = None, width: int | None = None, most: int = FAR, anchored: bool = False) -> tuple[int, int]:
+    """(edits, end in region) of the best alignment of the whole item in the region, within `width` diagonals from `shift` on.
+
+    A diagonal is the place in the region minus that in the item. A row of the alignment has `width` columns, all by
+    default; the alignment is given up, with FAR edits, once a row has none of at most `most` edits. anchored: it starts with the region.
+    """
+    shift = -len(item) if shift is None else shift
+    width = len(item) + len(region) + 1 if width is None else width
+    steps = np.arange(width)
+    place = steps + shift  # in the region, of row 0
+    inside = (place >= 0) & (place <= len(region))
+    row = np.where(inside, place if anchored else 0, FAR)
+    padded = np.concatenate([np.full(max(0, -shift) + 1, -1, np.int16), region.astype(np.int16), np.full(max(0, shift) + width + len(item) + 1, -1, np.int16)])
+    first = shift + max(0, -shift)  # in padded, of the character before column 0 of row 0
+    for i, ch in enumerate(item.tolist(), 1):
+        before = padded[first + i : first + i + width]  # the character before each column of row i
+        best = row + (before != ch)
+        best[before < 0] = FAR
+        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
+        at = place + i
+        best[(at < 0) | (at > len(region))] = FAR
         row = np.minimum.accumulate(best - steps) + steps
+        row[(at < 0) | (at > len(region))] = FAR
+        if row.min() > most:
+            return FAR, 0
     at = int(row.argmin())
-    return int(row[at]), at
+    return int(row[at]), int(place[at]) + len(item)
 
 
 def _counted(doc: np.ndarray, item: np.ndarray, band: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -162,9 +182,9 @@ class ItemIndex:
                 taken[d, i] = a + exact + 1
                 continue
             whole = np.frombuffer(self.texts[i], np.uint8)
-            edits, end = _alignment(whole, text)
+            edits, end = _alignment(whole, text, low - k - a, 2 * width + 2 * k + 1, k)
             if edits <= k:
-                back = _alignment(whole[::-1], text[:end][::-1])[1]
+                back = _alignment(whole[::-1], text[max(0, end - len(whole) - k) : end][::-1], -k, 2 * k + 1, k, anchored=True)[1]
                 found.append((d, self.ids[i], a + end - back, a + end, edits))
                 taken[d, i] = a + end - back + width
         return found
