@@ -1,7 +1,7 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
 DataFrame operations only (the forest is Spark's own). A candidate is a whole run of 16 or more characters of keys and
-codes with a digit or a capital in it. Its features are its length, kinds of characters and entropy, the transitions between
+codes with a digit or a capital in it, or what an assignment to a name of secrets gives, of six characters or more. Its features are its length, kinds of characters and entropy, the transitions between
 kinds of characters, the share that dictionary words cover, and its path and neighbouring words. The forest is trained
 on labelled findings: any table of (before, candidate, after, path, secret); `made_findings` makes one.
 """
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHARS = r"A-Za-z0-9+/_\-"
-CANDIDATE = (
-    rf"((?:[\p{{L}}_.]{{1,40}}[ \t]{{0,3}}[=:]?[ \t]{{0,3}}[\"']?)?)(?<![{CHARS}])"
-    rf"(?=[a-z+/_\-]*+[A-Z0-9])([{CHARS}]{{16,}}+={{0,2}})(?=([^\n]{{0,24}}))"
-)
+# An assignment's value is looked at only behind its sign, so that the names are not tried at every place of a text.
+ASSIGNED = r"(?<=[=:][ \t]{0,3}[\"']?)(?<=(?i:passw(?:or)?d|pwd|secret|token|api_?key|credentials?)[\"']?[ \t]{0,3}[=:]{1,2}[ \t]{0,3}[\"']?)(?<![^=: \t\"'])[^\s\"'=:,;]{6,}+"
+CANDIDATE = rf"(?<![{CHARS}])(?=[a-z+/_\-]*+[A-Z0-9])[{CHARS}]{{16,}}+={{0,2}}|{ASSIGNED}"
+BEFORE = r"[\p{L}_.]{1,40}[ \t]{0,3}[=:]?[ \t]{0,3}[\"']?$"
 WORDS = (
     "the and for that this with from have not are was can has will one all about data test example sample dummy user name file path image "
     "index table value string number class object function return public private static final void main java python script style width "
@@ -106,7 +106,11 @@ def made_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (pick(11, "", "use ", 'key = "'), F.concat(F.lit("sk_live_"), F.substring(b64(12), 1, 24))),
         (pick(13, "bearer ", "Bearer "), F.concat(F.lit("eyJ"), F.substring(b64(14), 1, 60))),
     ]
+    secrets += [
+        (F.concat(pick(50, "password", "db.password", "pwd", "secret", "passwd"), sign), F.concat(F.substring(b64(51), 1, 5), pick(52, "!", "$", "#", "_", "9"), F.substring(b64(53), 1, 4))),
+    ]
     others = [
+        (F.concat(pick(54, "password", "token", "secret", "pwd"), sign), pick(55, "required", "changeme", "<password>", "${PASSWORD}", "string", "example", "undefined", "********", "optional")),
         (pick(15, "commit ", "revision ", "sha1: ", "sha1=", "of ", "the "), F.substring(h(16), 1, 40)),
         (pick(17, "md5 ", "checksum: ", 'etag="', "uuid "), F.substring(h(18), 1, 32)),
         (pick(19, "id ", "card ", "the ", ""), F.substring(F.translate(h(20), "abcdef", "123456"), 1, 16)),
@@ -145,15 +149,26 @@ def train_forest(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int
     return forest.fit(_assembled(sample).select("features", "secret"))
 
 
+def judged(findings: DataFrame, model: RandomForestClassificationModel, least: float = 0.5) -> DataFrame:
+    """Findings with `found`: whether the forest gives them a probability of `least` or more."""
+    return model.transform(_assembled(findings)).withColumn("found", vector_to_array("probability")[1] >= least)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """(doc_id, before, candidate, after, path) of each candidate in the whole texts."""
     text = F.col(text_col).cast("string")
-    groups = [F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "candidate"), (3, "after"))]
-    found = docs.where(text.rlike(rf"[{CHARS}]{{16}}")).select(
-        F.col(id_col).alias("doc_id"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"), *groups
+    # Candidates and what stands between them, each by one pass; the texts before and after come from these short pieces.
+    found = docs.where(text.rlike(CANDIDATE)).select(
+        F.col(id_col).alias("doc_id"),
+        (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"),
+        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("candidates"),
+        F.split(text, CANDIDATE, -1).alias("gaps"),
     )
-    return found.select("doc_id", "path", F.explode(F.arrays_zip("before", "candidate", "after")).alias("c")).select(
-        "doc_id", "c.before", "c.candidate", "c.after", "path"
+    each = found.select("doc_id", "path", "candidates", "gaps", F.posexplode("candidates").alias("i", "candidate"))
+    piece = lambda c, k: F.coalesce(F.get(c, F.col("i") + k), F.lit(""))
+    after = F.concat(piece("gaps", 1), piece("candidates", 1), piece("gaps", 2), piece("candidates", 2))
+    return each.select(
+        "doc_id", F.regexp_extract(F.right(piece("gaps", 0), F.lit(50)), BEFORE, 0).alias("before"), "candidate", F.regexp_extract(after, r"^[^\n]{0,24}", 0).alias("after"), "path"
     )
 
 
@@ -163,8 +178,8 @@ def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, least:
     A candidate is a secret if the forest gives it a probability of `least` or more. Null and empty texts have no
     candidates. Rows that share an id are counted together, and each has the sum.
     """
-    scored = model.transform(_assembled(candidates(docs, id_col, text_col, path_col)))
-    secret = vector_to_array("probability")[1] >= least
+    scored = judged(candidates(docs, id_col, text_col, path_col), model, least)
+    secret = F.col("found")
     each = scored.groupBy("doc_id").agg(
         F.count("*").alias("n_candidates"),
         F.sum(secret.cast("long")).alias("n_secrets"),
