@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import vec
-from quillon.llm.ranges import pack_keys, range_cuts, unpack_keys
+from quillon.llm.ranges import pack_keys, pack_unordered, range_cuts, unpack_keys
 from quillon.llm.scratch import forget, release, written
 
 U64 = np.uint64
 END = U64(0x3C6EF372FE94F82B)
 START = U64(0xA54FF53A5F1D36F1)
 BLOCK_BYTES = 3 << 20
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 1_500_000
 LEVELS = np.array([0.02, 0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 0.95])
 CLASSES = 12
 SEGMENT = 256
@@ -199,6 +199,8 @@ def _told(table: pa.Table) -> pa.Table:
     answers = [_squeeze(back[e - n : e]) for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
     kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
     rows = len(answers) + 1
+    del keys, counts, every, order, back
+    vec.trim()
     return pa.table(
         {
             "kind": pa.array([kind] * rows, pa.int32()),
@@ -368,10 +370,16 @@ def _with_bigrams(totals: Totals, parts: int):
             out.append(_row(r, n_words=len(vocabulary), last=last, words=_squeeze(words), bigrams=_squeeze(pairs), left_out=left))
             open_ = _open_trigrams(b, pairs)
             three = b.trigram_hashes(two, vocabulary, open_)
-            for _, part, keys, counts in _packets(2, three, b.own(b.trigram, len(b.trigrams))[open_], parts):
-                out.append(_row({"block": r["block"]}, part=part, keys=keys, counts=counts))
-            # The hashes that tell answers apart, in the order of the codes.
-            out.append(_row({"block": r["block"]}, keys=_squeeze(np.argsort(np.argsort(three, kind="stable")))))
+            counts = b.own(b.trigram, len(b.trigrams))[open_]
+            # Keys go in the order of the codes; the range of each says later where its answer is.
+            part = ((three >> U64(32)) * U64(parts)) >> U64(32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                at = order[cuts[p] : cuts[p + 1]]
+                out.append(_row({"block": r["block"]}, part=p, keys=pack_unordered(three[at], p, parts), counts=_squeeze(counts[at])))
+            out.append(_row({"block": r["block"]}, keys=_squeeze(part)))
+        vec.trim()
         return pa.concat_tables(out)
 
     return run
@@ -390,16 +398,18 @@ def _with_trigrams(totals: Totals):
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         rows, answers, out = own.to_pylist(), _told_by_kind(told), []
-        rank = next(_expand(r["keys"]) for r in rows if r["tokens"] is None)
+        part = next(_expand(r["keys"]) for r in rows if r["tokens"] is None)
         for r in rows:
             if r["tokens"] is None:
                 continue
             b, words, pairs = Block.of(r), _expand(r["words"]), _expand(r["bigrams"])
             trigrams = b.own(b.trigram, len(b.trigrams))
-            if len(rank):
-                trigrams[_open_trigrams(b, pairs)] = (np.concatenate([_expand(c) for _, c in sorted(answers[2], key=lambda x: x[0])]) >> 1)[rank]
+            if len(part):
+                told = np.concatenate([_expand(c) for _, c in sorted(answers[2], key=lambda x: x[0])]) >> 1
+                trigrams[_open_trigrams(b, pairs)[np.argsort(part, kind="stable")]] = told
             left = _left_out_pairs(b, words, pairs >> 1, trigrams, r["last"], totals).reshape(-1)
             out.append(_row(r, trigrams=_squeeze(trigrams), left_out=left))
+        vec.trim()
         return pa.concat_tables(out)
 
     return run
@@ -424,6 +434,7 @@ def _scored(totals: Totals):
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
+                vec.trim()
 
     return run
 

@@ -25,9 +25,20 @@ def pack_keys(keys: np.ndarray, part: int, parts: int) -> bytes:
     return struct.pack("<B", width) + body.tobytes()
 
 
+def pack_unordered(keys: np.ndarray, part: int, parts: int) -> bytes:
+    """The same 48 bits of keys in any order, six bytes each."""
+    low = U64(-(-(part << 32) // parts) << 32)
+    short = (keys - low) >> U64(max(0, 16 - parts.bit_length() + 1))
+    return b"\0" + np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
 def unpack_keys(raw: bytes) -> np.ndarray:
-    """The ascending keys again, as they are told apart within their range."""
+    """The keys again, in the order in which they were packed, as they are told apart within their range."""
     width = raw[0]
+    if not width:
+        full = np.zeros(((len(raw) - 1) // 6, 8), np.uint8)
+        full[:, :6] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 6)
+        return full.view("<u8").reshape(-1)
     body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
     full = np.zeros((len(body), 8), np.uint8)
     full[:, :width] = body

@@ -10,11 +10,16 @@ Null texts count as empty everywhere in this module.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not a GNU system
+    _libc = None
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
 
@@ -40,6 +45,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[:n], _inv
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system: workers are kept, and one large block would else count for all later ones."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) of each element."""
     x = x + U64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
