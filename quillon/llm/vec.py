@@ -82,6 +82,8 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         end = min(max(end, row + 1), n)
         yield row, end, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
+    if offs[n] - offs[0] > limit:
+        trim()
 
 
 def lower(buf: np.ndarray) -> np.ndarray:
