@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import scoring_text, strip, text_of
+from quillon.functions.text import scoring_text, strip, text_of, tokens
 from quillon.functions.vectors import token_overlap
-from quillon.operators.index import Index
+from quillon.operators.index import Index, Tokenizer
 from quillon.operators.retrieve import RetrievalConfig, retrieve, split_budget
 
 
@@ -85,13 +85,21 @@ def align(
     scorer: Callable[[Column, Column], Column] = token_overlap,
     query_vectors: DataFrame | None = None,
     encoder: Callable[[Column], Column] | None = None,
+    tokenizer: Tokenizer = tokens,
+    tokenizer_id: str = "default",
+    encoder_id: str | None = None,
 ) -> DataFrame:
     """A prediction for each query (query_id, query and perhaps scoring_query), with one schema for all cases.
 
     query_id, attribute_text, retrieval_source (exact, lexical, semantic, hybrid or none), num_retrieved, num_scored,
     predicted_iri, predicted_score, top. An exact hit predicts its least iri with score 1, unscored and without top.
+    ValueError if the index was built with another tokenizer, or with another encoder than the one named.
     """
-    found = retrieve(queries, index, config.retrieval, query_vectors, encoder)
+    if tokenizer_id != index.tokenizer_id:
+        raise ValueError(f"the index has tokens of {index.tokenizer_id!r}, not of {tokenizer_id!r}")
+    if encoder_id is not None and encoder_id != index.encoder_id:
+        raise ValueError(f"the index has vectors of {index.encoder_id!r}, not of {encoder_id!r}")
+    found = retrieve(queries, index, config.retrieval, query_vectors, encoder, tokenizer)
     counts = found.groupBy("query_id").agg(
         F.count("*").alias("num_retrieved"),
         F.first("found").alias("retrieval_source"),

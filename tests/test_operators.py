@@ -221,3 +221,14 @@ def test_scores_closer_than_a_ten_thousandth(spark):
 def test_numbers_of_rows_are_those_of_their_order(spark):
     df = spark.range(1000).selectExpr("id * 7919 % 1000 as x").repartition(9)
     assert all(r.x == r.row_no for r in with_row_no(df, "x").collect())
+
+
+def test_another_tokenizer_or_encoder_than_the_index_s_is_refused(spark, concepts):
+    pieces = lambda c: F.split(F.lower(c), "")
+    made = I.build_index(concepts, tokenizer=pieces, tokenizer_id="characters", encoder_id="hashed")
+    asked = spark.createDataFrame([(1, "iec")], "query_id long, query string")
+    for more in ({}, {"tokenizer": pieces, "tokenizer_id": "characters", "encoder_id": "other"}):
+        with pytest.raises(ValueError):
+            S.align(asked, made, **more)
+    got = S.align(asked, made, tokenizer=pieces, tokenizer_id="characters", encoder_id="hashed").collect()
+    assert len(got) == 1 and got[0].retrieval_source != "none"
