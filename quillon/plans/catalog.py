@@ -19,6 +19,7 @@ from quillon.operators import retrieve as R
 from quillon.operators import score as S
 from quillon.operators import search as H
 from quillon.plans.sql import TOKEN, camel, norm, query
+from quillon.sources import rdf
 from quillon.sources import tables as X
 
 SPEC = S.AlignConfig(R.RetrievalConfig("hybrid", 15, 15, 30, 0.5), cross_top_k=10, keep_top_n=5)
@@ -165,6 +166,104 @@ def split_budget(spark, d):
     return spark.createDataFrame([(n, r, *R.split_budget(n, r)) for n, r in cases], "total int, ratio double, k_lexical long, k_semantic long")
 
 
+# ---- sources ----
+
+_OPEN = """<rdf:RDF xml:base="http://parts.test/c" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#"
+ xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:skos="http://www.w3.org/2004/02/skos/core#" xmlns:n="http://parts.test/n#">"""
+_CLOSE = "</rdf:RDF>"
+
+
+def _xml(template: str):
+    """A text with columns for {names}, escaped; {{ and }} are not for use."""
+    import re
+
+    escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(*[escaped(x[1:-1]) if x.startswith("{") else F.lit(x) for x in re.split(r"({\w+})", template) if x])
+
+
+def part_ontology(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): parts as RDF/XML classes, three in a document, which says that they are disjoint; and a document for each brand.
+
+    A part is below its brand's class, has a restriction to its type, and each second one is equivalent to its brand's second
+    class, which has no label; each fifth has no label of its own.
+    """
+    parts = table(spark, d, "part").withColumns({"brand": F.replace("p_brand", F.lit("#"), F.lit("")), "size": F.col("p_size").cast("string")})
+    label = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(_xml("<rdfs:label xml:lang='en'> {p_name}  {p_partkey} </rdfs:label><rdfs:label>other</rdfs:label>"))
+    same = F.when(F.col("p_partkey") % 2 == 0, _xml("<owl:equivalentClass rdf:resource='#{brand}Like'/>")).otherwise("")
+    facts = _xml(
+        "<rdfs:subClassOf rdf:resource='#{brand}'/><rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource='#hasType'/>"
+        "<owl:someValuesFrom rdf:resource='#{p_type}'/></owl:Restriction></rdfs:subClassOf><n:definition> size {size} </n:definition>"
+        "<n:hasExactSynonym>{p_brand}</n:hasExactSynonym><n:hasExactSynonym>{p_type}</n:hasExactSynonym><n:note rdf:resource='#{brand}'/>"
+    )
+    made = F.concat(_xml("<owl:Class rdf:about='#P{p_partkey}'>"), label, facts, same, F.lit("</owl:Class>"))
+    third = F.floor(F.col("p_partkey") / 3).alias("third")
+    grouped = parts.select(third, F.struct("p_partkey", made.alias("made"), _xml("<rdf:Description rdf:about='#P{p_partkey}'/>").alias("member")).alias("x"))
+    grouped = grouped.groupBy("third").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    joined = lambda c: F.array_join(F.transform("x", lambda x: x[c]), "")
+    axiom = F.concat(F.lit("<owl:AllDisjointClasses><owl:members rdf:parseType='Collection'>"), joined("member"), F.lit("</owl:members></owl:AllDisjointClasses>"))
+    threes = grouped.select(F.concat(F.lit("three"), "third").alias("path"), F.concat(F.lit(_OPEN), joined("made"), axiom, F.lit(_CLOSE)).alias("content"))
+    brands = parts.select("p_brand", "brand").distinct()
+    return threes.union(brands.select("brand", F.concat(F.lit(_OPEN), _xml("<owl:Class rdf:about='#{brand}'><rdfs:label>{p_brand}</rdfs:label></owl:Class>"), F.lit(_CLOSE))))
+
+
+@registered(
+    """WITH p AS (
+        SELECT *, replace(p_brand, '#', '') AS brand, p_partkey // 3 AS third, CASE WHEN p_partkey % 5 = 0 THEN 'P' || p_partkey ELSE p_name || '  ' || p_partkey END AS label,
+               CASE WHEN p_partkey % 5 = 0 THEN 'p' || p_partkey ELSE lower(p_name) || ' ' || p_partkey END AS words FROM part),
+    other AS (SELECT a.p_partkey, string_agg('disjoint with ' || b.words, ' | ' ORDER BY b.p_partkey) AS others FROM p a JOIN p b ON a.third = b.third AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey)
+    SELECT 'http://parts.test/c#P' || p_partkey AS iri, 'P' || p_partkey AS local_name, label, 'sub class of ' || lower(p_brand) AS parents,
+           'has type: ' || trim(lower(regexp_replace(p_type, '([A-Z])', ' \\1', 'g'))) AS restrictions,
+           CASE WHEN p_partkey % 2 = 0 THEN 'equivalent to ' || lower(brand) || ' like' ELSE '' END AS equivalent_to, coalesce(others, '') AS disjoint_with,
+           'definition=size ' || p_size || ';hasExactSynonym=' || p_brand || ',' || p_type || ';note=' || p_brand AS annotations
+    FROM p LEFT JOIN other USING (p_partkey)
+    UNION ALL SELECT DISTINCT 'http://parts.test/c#' || brand, brand, p_brand, '', '', '', '', '' FROM p"""
+)
+def ontology_classes(spark, d):
+    raw = rdf.owl_classes(rdf.parse_triples(part_ontology(spark, d)))
+    notes = F.transform(F.array_sort(F.map_entries("annotations")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
+    return raw.drop("row_no").withColumn("annotations", F.array_join(notes, ";"))
+
+
+@registered("SELECT 'http://parts.test/c#' || brand AS iri, p_brand AS label FROM (SELECT DISTINCT p_brand, replace(p_brand, '#', '') AS brand FROM part)")
+def ontology_prefix(spark, d):
+    return rdf.owl_classes(rdf.parse_triples(part_ontology(spark, d)), "http://parts.test/c#Brand").select("iri", "label")
+
+
+@registered(
+    """SELECT 'http://parts.test/v/' || c_custkey AS iri, CAST(c_custkey AS VARCHAR) AS local_name,
+        CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'also ' || c_name ELSE 'http://parts.test/v/' || c_custkey END AS label,
+        CASE c_custkey % 2 WHEN 0 THEN 'in ' || c_mktsegment ELSE 'by ' || c_name END AS description, lower(c_name) || ' | ' || lower(c_mktsegment) AS synonyms,
+        'broader concept http://parts.test/v/n' || c_nationkey AS parents, 'exact match http://other.test/e | exact match http://other.test/c' AS equivalent_to FROM customer"""
+)
+def vocabulary_concepts(spark, d):
+    """Customers as concepts of a vocabulary, a document each."""
+    said = table(spark, d, "customer").withColumns({"name": F.lower("c_name"), "segment": F.lower("c_mktsegment")})
+    key = F.col("c_custkey") % 3
+    label = F.when(key == 0, _xml("<rdfs:label>no</rdfs:label><skos:prefLabel> {c_name} </skos:prefLabel>")).when(key == 1, _xml("<rdfs:label>also {c_name}</rdfs:label>")).otherwise("")
+    about = F.when(F.col("c_custkey") % 2 == 0, _xml("<rdfs:comment>no</rdfs:comment><skos:scopeNote>in {c_mktsegment}</skos:scopeNote>")).otherwise(_xml("<rdfs:comment>by {c_name}</rdfs:comment>"))
+    facts = _xml(
+        "<skos:altLabel>{name}</skos:altLabel><skos:altLabel>{segment}</skos:altLabel><skos:broader rdf:resource='http://parts.test/v/n{c_nationkey}'/>"
+        "<skos:closeMatch rdf:resource='http://other.test/c'/><skos:exactMatch rdf:resource='http://other.test/e'/>"
+    )
+    content = F.concat(F.lit(_OPEN), _xml("<skos:Concept rdf:about='http://parts.test/v/{c_custkey}'>"), label, about, facts, F.lit("</skos:Concept>"), F.lit(_CLOSE))
+    documents = said.select(F.col("c_custkey").alias("path"), content.alias("content"))
+    return rdf.skos_concepts(rdf.parse_triples(documents)).drop("row_no", "restrictions", "disjoint_with")
+
+
+@registered(
+    """SELECT 'http://s.test/' || l_suppkey AS source_iri, 'http://t.test/' || l_returnflag || '/' || l_partkey AS target_iri, 'positive' AS sample_type, 1 AS match, l_discount AS measure, '=' AS relation
+    FROM lineitem WHERE l_returnflag = 'R' AND CAST(l_suppkey AS VARCHAR) LIKE '1%'"""
+)
+def alignment_cells(spark, d):
+    """Line items as cells of a reference alignment, a text each."""
+    line = table(spark, d, "lineitem")
+    cell = _xml(
+        "<Cell><entity1 rdf:resource='http://t.test/{l_returnflag}/{l_partkey}'/><entity2 rdf:resource='http://s.test/{l_suppkey}'/>"
+        "<measure rdf:datatype='xsd:float'>{l_discount}</measure><relation>=</relation></Cell>"
+    )
+    return rdf.alignment_rows(line.select(F.from_xml(cell, rdf.CELL).alias("c")).select("c.*"), "http://s.test/1", "http://t.test/R/")
+
+
 # ---- concepts and their index ----
 
 

@@ -108,22 +108,31 @@ def _triples(data: bytes) -> Iterator[tuple]:
             depth -= 1
 
 
-def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """The triples of RDF/XML files; kind is iri, blank or literal."""
+def parse_triples(documents: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """The triples of RDF/XML documents, one a row; kind is iri, blank or literal.
+
+    Blank nodes are told apart by the names of their documents. A document without content has no triples.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for t in _triples(content):
-                    rows.append(t)
+            rows = []
+            for doc, data in zip(batch["doc"], batch["content"], strict=True):
+                own = lambda x: f"_:{doc}{x[2:]}" if x.startswith("_:") else x  # noqa: B023, E731
+                for s, p, o, kind, lang, pos in _triples(data) if data else ():
+                    rows.append((own(s), p, own(o) if kind == "blank" else o, kind, lang, pos))
                     if len(rows) == 50_000:
                         yield pd.DataFrame(rows, columns=["s", "p", "o", "kind", "lang", "pos"])
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["s", "p", "o", "kind", "lang", "pos"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["s", "p", "o", "kind", "lang", "pos"])
 
-    return spark.read.format("binaryFile").load(resolve_source(path)).select("content").mapInPandas(run, TRIPLES)
+    return documents.select(F.lower(F.hex(F.xxhash64(name))).alias("doc"), F.col(content).cast("binary").alias("content")).mapInPandas(run, TRIPLES)
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """The triples of RDF/XML files. A file is read by one task, which holds it whole: it must be under 2 GB."""
+    return parse_triples(spark.read.format("binaryFile").load(resolve_source(path)).select("path", "content"))
 
 
 def local_name(iri: Column | str) -> Column:
@@ -139,7 +148,16 @@ def _ordered_text(group: Column, value: Column) -> Column:
 
 def _first_labels(triples: DataFrame) -> DataFrame:
     labels = triples.where((F.col("p") == RDFS + "label") & (F.trim("o") != ""))
-    return labels.groupBy(F.col("s").alias("iri")).agg(F.min_by(F.trim("o"), "pos").alias("label"))
+    return labels.groupBy(F.col("s").alias("iri")).agg(F.min_by(F.trim("o"), F.struct("pos", "o")).alias("label"))
+
+
+def _disjoint_members(triples: DataFrame) -> DataFrame:
+    """(s, p, o, pos): each two members of an AllDisjointClasses axiom as disjoint, at the place of the other."""
+    axioms = triples.where((F.col("p") == RDF + "type") & (F.col("o") == OWL + "AllDisjointClasses")).select(F.col("s").alias("axiom"))
+    members = triples.where(F.col("p") == OWL + "members").select(F.col("s").alias("axiom"), F.col("o").alias("s"), "pos")
+    others = members.select("axiom", F.col("s").alias("o"), "pos")
+    pairs = axioms.distinct().join(members.drop("pos"), "axiom").join(others, "axiom").where("s <> o")
+    return pairs.select("s", F.lit(OWL + "disjointWith").alias("p"), "o", "pos")
 
 
 def owl_classes(triples: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -163,8 +181,10 @@ def owl_classes(triples: DataFrame, prefix: str | None = None) -> DataFrame:
     )
     construct = parts.select(F.col("s").alias("o"), F.concat("prop", F.lit(": "), "filler").alias("construct"))
     links = triples.where(F.col("p").isin(RDFS + "subClassOf", OWL + "equivalentClass", OWL + "disjointWith") & (F.col("kind") != "literal"))
-    mirrored = links.where(F.col("p") == OWL + "disjointWith").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "kind", "lang", "pos")
-    links = links.union(mirrored).dropDuplicates(["s", "p", "o"]).join(named, "o", "left").join(construct, "o", "left")
+    links = links.select("s", "p", "o", "pos")
+    mirrored = links.where(F.col("p") == OWL + "disjointWith").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "pos")
+    links = links.union(mirrored).union(_disjoint_members(triples)).groupBy("s", "p", "o").agg(F.min("pos").alias("pos"))
+    links = links.join(named, "o", "left").join(construct, "o", "left")
     is_blank = F.col("o").startswith("_:")
     said = lambda p, before: F.when(F.col("p") == p, F.concat(F.lit(before), words))
     linked = links.groupBy(F.col("s").alias("iri")).agg(
@@ -229,26 +249,33 @@ def skos_concepts(triples: DataFrame, prefix: str | None = None) -> DataFrame:
     )
 
 
-def read_alignment(spark: SparkSession, path: str, source_prefix: str | None = None, target_prefix: str | None = None) -> DataFrame:
-    """(source_iri, target_iri, sample_type, match, measure, relation) of each cell of a reference alignment.
+CELL = "entity1 struct<`_rdf:resource`:string>, entity2 struct<`_rdf:resource`:string>, measure struct<_VALUE:string>, relation struct<_VALUE:string>"
+
+
+def alignment_rows(cells: DataFrame, source_prefix: str | None = None, target_prefix: str | None = None) -> DataFrame:
+    """(source_iri, target_iri, sample_type, match, measure, relation) of cells with the columns CELL.
 
     A cell's first entity is the target and its second the source. Each prefix filters its own column.
     """
-    cells = spark.read.format("xml").option("rowTag", "Cell").load(resolve_source(path))
-    column = lambda *names: next((F.col(n) for n in names if n.split(".")[0] in cells.columns), F.lit(None))
     out = cells.select(
         F.col("entity2._rdf:resource").alias("source_iri"),
         F.col("entity1._rdf:resource").alias("target_iri"),
         F.lit("positive").alias("sample_type"),
         F.lit(1).alias("match"),
-        (F.col("measure._VALUE") if dict(cells.dtypes).get("measure", "").startswith("struct") else column("measure")).cast("double").alias("measure"),
-        column("relation").cast("string").alias("relation"),
+        F.col("measure._VALUE").cast("double").alias("measure"),
+        F.col("relation._VALUE").alias("relation"),
     )
     if source_prefix:
         out = out.where(F.col("source_iri").startswith(source_prefix))
     return out.where(F.col("target_iri").startswith(target_prefix)) if target_prefix else out
 
 
+def read_alignment(spark: SparkSession, path: str, source_prefix: str | None = None, target_prefix: str | None = None) -> DataFrame:
+    """The rows of each cell of a reference alignment; its files are split by cells and read once."""
+    cells = spark.read.format("xml").option("rowTag", "Cell").schema(CELL).load(resolve_source(path))
+    return alignment_rows(cells, source_prefix, target_prefix)
+
+
 def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

@@ -54,6 +54,21 @@ def test_ontology(spark, tmp_path):
     assert source.count() == target.count() == 3
 
 
+def test_disjoint_members_and_blank_nodes_of_several_documents(spark, tmp_path):
+    head = OWL[: OWL.index("<owl:ObjectProperty")]
+    for name, filler in (("a", "Water"), ("b", "Rock")):
+        members = "".join(f'<rdf:Description rdf:about="#{x}"/>' for x in (f"In{name}", "Water", "Rock"))
+        restriction = f'<owl:Restriction><owl:onProperty rdf:resource="#hasPart"/><owl:someValuesFrom rdf:resource="#{filler}"/></owl:Restriction>'
+        body = f'<owl:Class rdf:about="#In{name}"><rdfs:subClassOf>{restriction}</rdfs:subClassOf></owl:Class>'
+        axiom = f'<owl:AllDisjointClasses><owl:members rdf:parseType="Collection">{members}</owl:members></owl:AllDisjointClasses>'
+        (tmp_path / f"{name}.owl").write_text(head + body + axiom + "</rdf:RDF>")
+    got = {r.local_name: r for r in rdf.owl_classes(rdf.read_triples(spark, str(tmp_path))).collect()}
+    assert {k: (r.restrictions, r.disjoint_with) for k, r in got.items()} == {
+        "Ina": ("has part: water", "disjoint with water | disjoint with rock"),
+        "Inb": ("has part: rock", "disjoint with water | disjoint with rock"),
+    }
+
+
 def test_vocabulary(spark, tmp_path):
     (tmp_path / "v.rdf").write_text(SKOS)
     got = {r.local_name: r for r in rdf.skos_concepts(rdf.read_triples(spark, str(tmp_path / "v.rdf"))).collect()}
