@@ -68,6 +68,12 @@ def _vocabulary(raw: bytes) -> np.ndarray:
     return np.cumsum(_expand(raw).view(U64), dtype=U64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one after another: no more than one block is copied out of it."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, seq = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
@@ -166,7 +172,7 @@ def _answered(told: list[tuple], keys: np.ndarray) -> np.ndarray:
 def _asked(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 words = _vocabulary(r["vocabulary"])
                 block = Block.of(r | {"n_words": len(words)})
                 two = block.hashes(words)
@@ -418,7 +424,7 @@ def _with_trigrams(totals: Totals):
 def _scored(totals: Totals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 b = Block.of(r)
                 words, pairs, trigrams = (_expand(r[c]) for c in ("words", "bigrams", "trigrams"))
                 automaton = BackoffAutomaton(b, words, pairs >> 1, trigrams, r["last"], totals)
