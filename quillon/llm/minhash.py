@@ -79,9 +79,23 @@ def set_digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 def parities(values: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
     """`words` * 64 bits of each set, in a row: each element turns one bit over, by its hash. The bits in which two sets
     differ are at most as many as the elements that only one of them has."""
+    return parity_bits(bit_slots(values, words), bounds, words)
+
+
+def bit_slots(values: np.ndarray, words: int) -> np.ndarray:
+    """Which of `words` * 64 bits each element turns over."""
+    return (((mix(values, 14) >> U64(32)) * U64(64 * words)) >> U64(32)).astype(np.int64)
+
+
+def parity_bits(slots: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
+    """`words` words for each set: the bits that an odd number of the set's slots names. Counted for 2^23 bits at a time."""
     n, bits = len(bounds) - 1, 64 * words
-    at = ((mix(values, 14) >> U64(32)) * U64(bits)) >> U64(32)
-    cell = np.repeat(np.arange(n) * bits, np.diff(bounds)) + at.astype(np.int64)
     out = np.zeros(n * words, U64)
-    np.bitwise_xor.at(out, cell >> 6, U64(1) << (cell & 63).astype(U64))
+    step = max(1, (1 << 23) // bits)
+    for i in range(0, n, step):
+        j = min(n, i + step)
+        # A count that passes 255 starts at 0 again and so stays as even or odd as it was.
+        counts = np.zeros((j - i) * bits, np.uint8)
+        np.add.at(counts, slots[bounds[i] : bounds[j]] + np.repeat(np.arange(j - i) * bits, np.diff(bounds[i : j + 1])), np.uint8(1))
+        out[i * words : j * words] = np.packbits(counts & 1, bitorder="little").view("<u8")
     return out
