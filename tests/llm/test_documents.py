@@ -734,6 +734,61 @@ def test_line_banding_finds_links_at_the_threshold():
     assert (1 - at**rows) ** (bins // rows) <= 6e-5
 
 
+def test_only_lines_of_possible_pairs_bring_their_texts(spark, monkeypatch):
+    """Lines that share a bucket but are told apart by their sketches are not brought together with their texts."""
+    rng = random.Random(12)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(60))
+    lines = [shared + "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(150)]
+    lines += [x + "z" for x in lines[:3]]
+    brought = []
+    plain = line_dedup.confirmed
+    monkeypatch.setattr(line_dedup, "confirmed", lambda edges, contents, similar: brought.append(contents.count()) or plain(edges, contents, similar))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc for r in line_dedup.deduplicated_lines(df).collect()}
+    assert got == {i: i - 150 if i >= 150 else i for i in range(153)}
+    assert max(brought) < 20
+
+
+def test_small_buckets_are_compared_whole():
+    def bucket(n):
+        lines = np.arange(10, 10 + n, dtype=np.uint64)
+        keys = np.full(n, 5 << 40, np.uint64)
+        return line_dedup._stars(pa.table({"part": [0], "keys": [line_dedup.pack_keys(keys, 0, 1)], "lines": [lines.tobytes()]})).to_pylist()
+
+    assert [(r["key"], r["a"], r["b"]) for r in bucket(4)] == [(None, 10 + i, 10 + j) for i in range(4) for j in range(i + 1, 4)]
+    assert [(r["key"] is None, r["a"], r["b"]) for r in bucket(5)] == [(False, 10, 10 + j) for j in range(1, 5)]
+
+
+def test_sketches_of_all_sizes_bound_the_difference(spark):
+    """A pair's sketches, of as many words or not, never rule out a link, and tell unlike lines apart."""
+    rng = random.Random(2)
+    made = []
+    for n in (30, 290, 310, 640, 670, 1400):
+        x = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+        for share in (0.01, 0.02, 0.04, 0.06):
+            y = list(x)
+            for at in rng.sample(range(n), int(share * n)):
+                y[at] = "#"
+            made.append(("".join(x), "".join(y) + "".join(rng.choice("xyz") for _ in range(rng.randint(0, n // 10)))))
+        made.append(("".join(x), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))))
+
+    def point(text):
+        n, sketch = line_dedup.line_sketches(pa.array([text.encode()]), 5)
+        return int(n[0]), tuple(sketch.to_pylist()[0].values())
+
+    points = [(point(x), point(y)) for x, y in made]
+    assert {sum(w != 0 for w in p[1]) for pair in points for p in pair} == {3, 6, 12}
+    words = "struct<" + ",".join(f"w{i}:long" for i in range(12)) + ">"
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(points)], f"i int, me struct<n:long,sketch:{words}>, hub struct<n:long,sketch:{words}>")
+    got = {r.i: r.ok for r in df.select("i", line_dedup.parities_allow(80, 100).alias("ok")).collect()}
+    for i, (x, y) in enumerate(made):
+        a, b = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (x, y))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert got[i]
+        if not a & b:
+            assert not got[i]
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
