@@ -46,8 +46,8 @@ _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths array<i
 _ASKED = "kind int, part int, block long, keys binary, counts binary"
 _TOLD = "kind int, part int, block long, counts binary, known long, total long"
 _COUNTED = (
-    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n_words int, last int, words binary, bigrams binary, trigrams binary, "
-    "left_out array<double>, part int, keys binary, counts binary"
+    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, vocabulary binary, tokens binary, n_words int, last int, words binary, bigrams binary, "
+    "trigrams binary, left_out array<double>"
 )
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -359,38 +359,60 @@ def _told_by_kind(told: pa.Table) -> dict[int, list[tuple]]:
     return out
 
 
-def _with_bigrams(totals: Totals, parts: int):
-    """A block with the counts of its words and bigrams, and rows that ask for trigrams."""
+def _with_bigrams(totals: Totals):
+    """A block with the counts of its words and bigrams."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         out, answers = [], _told_by_kind(told)
         for r in own.to_pylist():
             vocabulary = _vocabulary(r["vocabulary"])
             b = Block.of(r | {"n_words": len(vocabulary)})
-            two = b.hashes(vocabulary)
-            words, pairs = _answered(answers[0], vocabulary) >> 1, _answered(answers[1], two)
-            bigrams = pairs >> 1
+            words, pairs = _answered(answers[0], vocabulary) >> 1, _answered(answers[1], b.hashes(vocabulary))
             end = int(np.searchsorted(vocabulary, END))
             last = end if end < len(vocabulary) and vocabulary[end] == END else -1
-            left = _left_out_words(b, words, bigrams, last, totals).reshape(-1)
+            left = _left_out_words(b, words, pairs >> 1, last, totals).reshape(-1)
             out.append(_row(r, n_words=len(vocabulary), last=last, words=_squeeze(words), bigrams=_squeeze(pairs), left_out=left))
-            open_ = _open_trigrams(b, pairs)
-            three = b.trigram_hashes(two, vocabulary, open_)
-            counts = b.own(b.trigram, len(b.trigrams))[open_]
-            # Keys go in the order of the codes; the range of each says later where its answer is.
-            part = ((three >> U64(32)) * U64(parts)) >> U64(32)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[p] : cuts[p + 1]]
-                out.append(_row({"block": r["block"]}, part=p, keys=pack_unordered(three[at], p, parts), counts=_squeeze(counts[at])))
-            out.append(_row({"block": r["block"]}, keys=_squeeze(part)))
         vec.trim()
         return pa.concat_tables(out)
 
     return run
 
 
+def _asked_trigrams(parts: int):
+    """What blocks ask for trigrams, made from what they keep, so that it is stored nowhere but on its way to the ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _rows(batch):
+                b, vocabulary = Block.of(r), _vocabulary(r["vocabulary"])
+                open_ = _open_trigrams(b, _expand(r["bigrams"]))
+                three, order, cuts = _ranges_of_trigrams(b, vocabulary, open_, parts)
+                counts, told = b.own(b.trigram, len(b.trigrams))[open_], np.flatnonzero(np.diff(cuts)).tolist()
+                at = [order[cuts[p] : cuts[p + 1]] for p in told]
+                keys = [pack_unordered(three[i], p, parts) for p, i in zip(told, at, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([2] * len(told), pa.int32()),
+                        pa.array(told, pa.int32()),
+                        pa.array([r["block"]] * len(told), pa.int64()),
+                        pa.array(keys, pa.binary()),
+                        pa.array([_squeeze(counts[i]) for i in at], pa.binary()),
+                    ],
+                    ["kind", "part", "block", "keys", "counts"],
+                )
+                vec.trim()
+
+    return run
+
+
+def _ranges_of_trigrams(b: Block, vocabulary: np.ndarray, open_: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, order, cuts): hashes of the open trigrams, and their places by range, in the order of their codes in each."""
+    three = b.trigram_hashes(b.hashes(vocabulary), vocabulary, open_)
+    part = ((three >> U64(32)) * U64(parts)) >> U64(32)
+    order = np.argsort(part, kind="stable")
+    return three, order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def _open_trigrams(b: Block, pairs: np.ndarray) -> np.ndarray:
     """The trigrams that other blocks may have: those both of whose bigrams (with their answers `pairs`) others have."""
     n = max(b.n, 1)
@@ -399,22 +421,20 @@ def _open_trigrams(b: Block, pairs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(pairs[context] & pairs[pair] & 1)
 
 
-def _with_trigrams(totals: Totals):
+def _with_trigrams(totals: Totals, parts: int):
     """A block with the counts of its trigrams too."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         rows, answers, out = own.to_pylist(), _told_by_kind(told), []
-        part = next(_expand(r["keys"]) for r in rows if r["tokens"] is None)
         for r in rows:
-            if r["tokens"] is None:
-                continue
             b, words, pairs = Block.of(r), _expand(r["words"]), _expand(r["bigrams"])
             trigrams = b.own(b.trigram, len(b.trigrams))
-            if len(part):
+            if answers[2]:
                 told = np.concatenate([_expand(c) for _, c in sorted(answers[2], key=lambda x: x[0])]) >> 1
-                trigrams[_open_trigrams(b, pairs)[np.argsort(part, kind="stable")]] = told
+                open_ = _open_trigrams(b, pairs)
+                trigrams[open_[_ranges_of_trigrams(b, _vocabulary(r["vocabulary"]), open_, parts)[1]]] = told
             left = _left_out_pairs(b, words, pairs >> 1, trigrams, r["last"], totals).reshape(-1)
-            out.append(_row(r, trigrams=_squeeze(trigrams), left_out=left))
+            out.append(_row(r, vocabulary=None, trigrams=_squeeze(trigrams), left_out=left))
         vec.trim()
         return pa.concat_tables(out)
 
@@ -470,19 +490,18 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "d
     release(docs.sparkSession)
     totals = Totals(total or 0, known or 0)
     answers = told.where("block is not null").select("kind", "part", "block", "counts")
-    counted = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_bigrams(totals, parts), _COUNTED), "lm-bigrams")
+    counted = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_bigrams(totals), _COUNTED), "lm-bigrams")
     del answers
     forget(blocks, told)
     totals = replace(totals, one=_chosen(counted))
     release(docs.sparkSession)
-    asked = counted.where("part is not null").select(F.lit(2).alias("kind"), "part", "block", "keys", "counts")
+    asked = counted.mapInArrow(_asked_trigrams(parts), _ASKED)
     told = written(asked.groupBy("kind", "part").applyInArrow(_told, _TOLD), "lm-trigram-counts")
     release(docs.sparkSession)
     answers = told.where("block is not null").select("kind", "part", "block", "counts")
-    own = counted.where("part is null")
-    automata = written(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_trigrams(totals), _COUNTED), "lm-trigrams")
+    automata = written(counted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_with_trigrams(totals, parts), _COUNTED), "lm-trigrams")
     forget(counted, told)
-    del asked, answers, own
+    del asked, answers
     release(docs.sparkSession)
     totals = replace(totals, two=_chosen(automata))
     scored = automata.mapInArrow(_scored(totals), _SCORED)

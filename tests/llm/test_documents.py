@@ -474,6 +474,15 @@ def test_scores_are_those_of_the_backoff_model(spark, monkeypatch):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+def test_keys_of_trigrams_are_stored_nowhere(spark, monkeypatch):
+    """What blocks ask for is on disk once, on its way to the ranges: no written table holds it."""
+    columns = {}
+    plain = language_model.written
+    monkeypatch.setattr(language_model, "written", lambda df, name: columns.__setitem__(name, df.columns) or plain(df, name))
+    language_model.score_texts(spark.createDataFrame([(i, "a b c d") for i in range(6)], "doc_id long, text string"))
+    assert "lm-trigrams" in columns and not [name for name, c in columns.items() if "keys" in c]
+
+
 def test_automaton_is_a_distribution():
     """From each state the probabilities of all words, and of the unseen one, add up to 1."""
     stream = np.array([0, 1, 1, 2, 6, 3, 1, 1, 6, 0, 1, 4, 6, 5, 6])
