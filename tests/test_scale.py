@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
+from quillon.operators import dataset as D
 from quillon.operators import index as I
 from quillon.operators import retrieve as R
 
@@ -88,3 +89,20 @@ def test_semantic_keeps_no_more_of_more_partitions(spark):
     queries = spark.range(40).select(F.col("id").alias("query_id"), F.array(F.rand(3), F.rand(4)).cast("array<float>").alias("embedding"))
     n, records = shuffled(spark, lambda: R.semantic_candidates(queries, vectors, 10).count())
     assert n == 400 and records < 15_000  # ten of each query from each of 64 partitions are 25,600
+
+
+def test_first_sampled_is_the_head_of_the_whole_order(spark):
+    rows = spark.range(3_000).select(F.concat(F.lit("a"), F.col("id") % 60).alias("a"), F.concat(F.lit("b"), "id").alias("b"))
+    for num in (0, 1, 700, 3_000, 5_000):
+        want = rows.orderBy(*D.sample_order(42, "a", "b")).limit(num).collect()
+        assert sorted(D.first_sampled(rows, num, 42, "a", "b").collect()) == sorted(want)
+
+
+def test_training_dataset_has_no_task_for_a_whole_sample(spark):
+    sources = spark.range(30).select(F.concat(F.lit("s"), "id").alias("source_iri"), F.lit("x").alias("source_label"), F.lit("").alias("source_text"))
+    targets = spark.range(200).select(F.concat(F.lit("t"), "id").alias("target_iri"), F.lit("y").alias("target_label"), F.lit("").alias("target_text"))
+    taken = spark.range(900).select(F.concat(F.lit("s"), F.col("id") % 30).alias("source_iri"), F.concat(F.lit("t"), F.col("id") % 200).alias("target_iri")).distinct()
+    negatives = D.random_negatives(sources, targets, taken, 1_000)
+    assert "TakeOrderedAndProject 1000" not in negatives._jdf.queryExecution().toString() and "limit=1000" not in negatives._jdf.queryExecution().toString()
+    assert negatives.select("source_iri", "target_iri").distinct().count() == 1_000
+    assert negatives.join(taken, ["source_iri", "target_iri"]).count() == 0
