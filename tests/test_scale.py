@@ -10,6 +10,8 @@ from quillon.functions import vectors as V
 from quillon.operators import dataset as D
 from quillon.operators import index as I
 from quillon.operators import retrieve as R
+from quillon.plans import catalog
+from quillon.sources import rdf
 
 
 def shuffled(spark, run):
@@ -106,3 +108,23 @@ def test_training_dataset_has_no_task_for_a_whole_sample(spark):
     assert "TakeOrderedAndProject 1000" not in negatives._jdf.queryExecution().toString() and "limit=1000" not in negatives._jdf.queryExecution().toString()
     assert negatives.select("source_iri", "target_iri").distinct().count() == 1_000
     assert negatives.join(taken, ["source_iri", "target_iri"]).count() == 0
+
+
+def test_classes_parse_each_document_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        parsed.add(1)
+        return text
+
+    text = "<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:owl='http://www.w3.org/2002/07/owl#'><owl:Class rdf:about='http://x/{}'/></rdf:RDF>"
+    documents = spark.createDataFrame([(f"d{i}", text.format(i)) for i in range(5)], "path string, content string")
+    made = rdf.owl_classes(rdf.parse_triples(documents.select("path", seen.asNondeterministic()("content").alias("content"))))
+    assert sorted(r.iri for r in made.collect()) == [f"http://x/{i}" for i in range(5)]
+    assert parsed.value == 5
+
+
+def test_pairs_keep_their_parts_for_the_joins(spark, sf_dir):
+    plan = catalog.training_positives(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3
