@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import collapse, first_text, humanize_name
-from quillon.sources.tables import resolve_source
+from quillon.sources.tables import fixed, resolve_source
 
 # Namespaces of the formats.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -165,8 +165,9 @@ def owl_classes(triples: DataFrame, prefix: str | None = None) -> DataFrame:
 
     Named classes only. label is the first in the document, or else the local name. parents and the like are texts in
     document order; a restriction is 'property: filler'. annotations maps the local names of other properties with
-    literal or named values to the list of their texts.
+    literal or named values to the list of their texts. Triples are read many times: they are parsed once, into a checkpoint.
     """
+    triples = fixed(triples.coalesce(max(1, triples.sparkSession.sparkContext.defaultParallelism)))
     classes = triples.where((F.col("p") == RDF + "type") & F.col("o").isin(OWL + "Class", RDFS + "Class") & ~F.col("s").startswith("_:"))
     classes = classes.groupBy(F.col("s").alias("iri")).agg(F.min("pos").alias("pos"))
     if prefix:
